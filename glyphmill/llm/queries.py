@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.llm import neardup, quality
+from glyphmill.llm import decontam, neardup, quality
 from glyphmill.shared import ship
 
 
@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id, edits): every document that holds a passage of a benchmark item."""
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the compression bands keep, with their ratios."""
     docs = table(spark, sf_dir, "documents")
@@ -27,7 +32,7 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_quality_rules, op8_minhash_near_dedup)
+    f.__name__: f for f in (op1_benchmark_decontamination, op5_quality_rules, op8_minhash_near_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}
