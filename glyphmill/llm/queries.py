@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.llm import decontam, neardup, quality
+from glyphmill.llm import bpe, decontam, neardup, quality
 from glyphmill.shared import ship
 
 
+#: The vocabulary of the token queries: ranked byte strings.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,6 +24,11 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, token_ids, round_trip) of every document."""
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), bpe.Bpe(VOCABULARY))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the compression bands keep, with their ratios."""
     docs = table(spark, sf_dir, "documents")
@@ -32,7 +41,7 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_benchmark_decontamination, op5_quality_rules, op8_minhash_near_dedup)
+    f.__name__: f for f in (op1_benchmark_decontamination, op4_bpe_encoding, op5_quality_rules, op8_minhash_near_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}
