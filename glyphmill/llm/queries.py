@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.llm import bpe, decontam, neardup, quality
+from glyphmill.llm import bpe, decontam, html, neardup, quality, secrets, shard, toxicity
 from glyphmill.shared import ship
 
 
@@ -24,6 +24,11 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, text, n_blocks, n_kept) of every page."""
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, token_ids, round_trip) of every document."""
     return bpe.encode_documents(table(spark, sf_dir, "documents"), bpe.Bpe(VOCABULARY))
@@ -35,13 +40,38 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.compression_ratios(docs, columns=["doc_id"]).where("verdict = 'keep'")
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its row number, position, shard and slot, moved into the order of positions."""
+    return shard.shuffled(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, kept_doc_id, rows): each near duplicate that goes, and the document of its group that stays."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, score) of the documents called toxic by the classifier trained on the labelled ones."""
+    return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, start, end, class, entropy) of every secret of every document."""
+    return secrets.secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_benchmark_decontamination, op4_bpe_encoding, op5_quality_rules, op8_minhash_near_dedup)
+    f.__name__: f
+    for f in (
+        op1_benchmark_decontamination,
+        op2_html_extraction,
+        op4_bpe_encoding,
+        op5_quality_rules,
+        op6_sharding,
+        op8_minhash_near_dedup,
+        op9_toxicity,
+        op10_secret_scans,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_sharding": shard.oracle_sql(shard.Shards())}
