@@ -109,15 +109,26 @@ class _Powers:
 _powers = _Powers()
 
 
-def span_hashes(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of code points, equal for equal spans wherever they stand."""
+def span_sums(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What summed_spans needs of these code points."""
     up, down = _powers.get(len(cp) + 1)
     with np.errstate(over="ignore"):
         sums = np.zeros(len(cp) + 1, np.uint64)
         np.cumsum(mix64(cp.astype(np.uint64) + np.uint64(0x51)) * up[: len(cp)], out=sums[1:])
+    return sums, down
+
+
+def summed_spans(sums: np.ndarray, down: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of code points, equal for equal spans wherever they stand."""
+    with np.errstate(over="ignore"):
         return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def span_hashes(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """summed_spans of the code points' sums."""
+    return summed_spans(*span_sums(cp), starts, ends)
+
+
 def words(array: pa.Array) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(hash of each word of the lower-cased texts, where each text's words start plus the end, (cp, starts, ends))."""
     cp, _, ends = codepoints(pc.utf8_lower(array), 1)

@@ -1,14 +1,16 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Confirmed toxic documents are the positives; other documents are unlabelled, toxic ones among them. A linear classifier
-on the presence of words is trained in numpy on the risk
+on the presence of words and word beginnings is trained in numpy on the risk
     prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))
 with the sigmoid loss; where the second part falls below zero its gradient is reversed, so the estimate can't be fitted
 below zero. prior is the share of toxic documents; where it is None it is the share among the rows with a label.
 
-Training reads a bounded sample (`positives`, `unlabelled`: the documents of the least hashes); features are words that
-stand in at least `least_share` of the sampled positives, at least `least_count` of them, and in `least_z` standard errors
-more of them than their share of the unlabelled ones foretells. Scoring reads every document whole. Words are matched by
+Training reads a bounded sample (`positives`, `unlabelled`: the documents of the least hashes); features are words and
+beginnings of words (`PREFIXES` characters, for inflected and compound forms) that
+stand in at least `least_share` of the sampled positives, at least `least_count` of them, in `least_z` standard errors
+more of them than their share of the unlabelled ones foretells, and of whose documents the share that is toxic, by the
+prior, is at least `least_precision`. The unlabelled sample is of all documents, labelled or not, as the risk demands. Scoring reads every document whole. Words are matched by
 64-bit hash.
 
 Cases: null and empty texts are not toxic; null labels are no labels; repeated labels count once; without any positive
@@ -26,7 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphmill.llm.textbuf import slices, strings, words
+from glyphmill.llm.textbuf import slices, span_sums, strings, summed_spans, words
+
+
+PREFIXES = (4, 5, 6)
 
 
 @dataclass(frozen=True)
@@ -34,9 +39,10 @@ class Toxicity:
     positives: int = 4000
     unlabelled: int = 12000
     prior: float | None = None
-    least_share: float = 0.02
+    least_share: float = 0.005
     least_count: int = 3
     least_z: float = 5.0
+    least_precision: float = 0.5
     features: int = 20_000
     steps: int = 400
     rate: float = 0.05
@@ -53,20 +59,32 @@ class Model:
     bias: float
 
 
+def terms(array: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, texts) of the words, then of the beginnings of each length; a word's own hash is not its beginning's."""
+    word, at, (cp, first, last) = words(array)
+    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    yield word, text
+    sums, down = span_sums(cp)
+    for k in PREFIXES:
+        long = np.flatnonzero(last - first >= k)
+        yield summed_spans(sums, down, first[long], first[long] + k) ^ np.uint64(k), text[long]
+
+
 def present(array: pa.Array, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, feature) of each feature that stands in a text, once each, by text."""
-    word, at, _ = words(array)
-    if not len(hashes) or not len(word):
+    if not len(hashes):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     # the top bits sift out nearly all other words
     sieve = np.zeros(1 << 20, bool)
     sieve[hashes >> np.uint64(44)] = True
-    near = np.flatnonzero(sieve[word >> np.uint64(44)])
-    slot = np.searchsorted(hashes, word[near])
-    slot[slot == len(hashes)] = 0
-    hit = hashes[slot] == word[near]
-    text = np.searchsorted(at, near[hit], side="right") - 1
-    both = np.unique(text * np.int64(len(hashes)) + slot[hit])
+    found = []
+    for term, text in terms(array):
+        near = np.flatnonzero(sieve[term >> np.uint64(44)])
+        slot = np.searchsorted(hashes, term[near])
+        slot[slot == len(hashes)] = 0
+        hit = hashes[slot] == term[near]
+        found.append(text[near[hit]] * np.int64(len(hashes)) + slot[hit])
+    both = np.unique(np.concatenate(found))
     return both // len(hashes), both % len(hashes)
 
 
@@ -101,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> Model
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64(F.lit(p.seed), F.col("doc_id")), F.col("doc_id")]
     chosen = known.where("toxic = 1").orderBy(*order).limit(p.positives).select("doc_id", F.lit(True).alias("positive"))
-    ids = docs.select("doc_id").where("doc_id is not null").distinct().join(known.where("toxic = 1").select("doc_id"), "doc_id", "leftanti")
+    ids = docs.select("doc_id").where("doc_id is not null").distinct()
     others = ids.orderBy(*order).limit(p.unlabelled).select("doc_id", F.lit(False).alias("positive"))
     picked = chosen.unionByName(others).collect()
     # bounded by the two sample sizes
@@ -110,12 +128,12 @@ def train(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> Model
     n_pos = sum(r.positive for r in picked)
     if not n_pos or n_pos == len(picked):
         return None
+    prior = p.prior if p.prior is not None else min(0.9, max(1e-3, float(share)))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                word, at, _ = words(strings(batch.column("text")))
-                text = np.repeat(np.arange(batch.num_rows), np.diff(at))
+                word, text = map(np.concatenate, zip(*terms(strings(batch.column("text")))))
                 order = np.lexsort((word, text))
                 word, text = word[order], text[order]
                 first = np.r_[True, (word[1:] != word[:-1]) | (text[1:] != text[:-1])] if len(word) else np.zeros(0, bool)
@@ -127,7 +145,8 @@ def train(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> Model
     n_un = len(picked) - n_pos
     share_un = (F.col("u") + 1) / (n_un + 2)
     z = (F.col("k") - n_pos * share_un) / F.sqrt(n_pos * share_un * (1 - share_un))
-    found = counted.where((F.col("k") >= least) & (z >= p.least_z)).orderBy(z.desc(), "word").limit(p.features).collect()
+    precision = prior * F.col("k") / n_pos / share_un
+    found = counted.where((F.col("k") >= least) & (z >= p.least_z) & (precision >= p.least_precision)).orderBy(z.desc(), "word").limit(p.features).collect()
     hashes = np.sort(np.array([r.word for r in found], np.int64).view(np.uint64))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +158,6 @@ def train(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> Model
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("positive"), lists], names=["doc_id", "positive", "features"])
 
     rows = sample.mapInArrow(featured, "doc_id long, positive boolean, features array<int>").toArrow().sort_by("doc_id")
-    prior = p.prior if p.prior is not None else min(0.9, max(1e-3, float(share)))
     positive = np.array(rows["positive"].to_pylist(), bool)
     features = [np.array(x, np.int64) for x in rows["features"].to_pylist()]
     if not positive.any() or positive.all():
