@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.llm import bpe, decontam, html, neardup, quality, secrets, shard, toxicity
+from glyphmill.llm import bpe, decontam, html, neardup, quality, secrets, shard, tokenbin, toxicity
 from glyphmill.shared import ship
 
 
@@ -45,6 +45,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.shuffled(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(shard, first_slot, n_sequences, stride, payload): the documents' token ids in training order, by shard."""
+    return tokenbin.shards(table(spark, sf_dir, "documents"), tokenbin.TokenShards(VOCABULARY))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, kept_doc_id, rows): each near duplicate that goes, and the document of its group that stays."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_bpe_encoding,
         op5_quality_rules,
         op6_sharding,
+        op7_token_binary,
         op8_minhash_near_dedup,
         op9_toxicity,
         op10_secret_scans,
