@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.llm import bpe, decontam, html, neardup, quality, secrets, shard, tokenbin, toxicity
+from glyphmill.llm import bpe, decontam, html, neardup, pii, quality, secrets, shard, tokenbin, toxicity
 from glyphmill.shared import ship
 
 
@@ -29,6 +29,12 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, spans, redacted) of every document with personal data."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.spans_of(docs, pii.train(docs))
+
+
 def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, token_ids, round_trip) of every document."""
     return bpe.encode_documents(table(spark, sf_dir, "documents"), bpe.Bpe(VOCABULARY))
@@ -70,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_benchmark_decontamination,
         op2_html_extraction,
+        op3_pii,
         op4_bpe_encoding,
         op5_quality_rules,
         op6_sharding,
