@@ -145,6 +145,8 @@ class Index:
         _, inverse, count = np.unique(pair, return_inverse=True, return_counts=True)
         enough = count[inverse] >= least
         band, p, d, item, r, w, e, least, pair = (x[enough] for x in (band, p, d, item, r, w, e, least, pair))
+        if not len(p):
+            return nothing
         order = np.lexsort((r, p, band, pair))
         band, p, d, item, r, w, e, least, pair = (x[order] for x in (band, p, d, item, r, w, e, least, pair))
         group = np.cumsum(np.r_[False, (pair[1:] != pair[:-1]) | (band[1:] != band[:-1])])
