@@ -35,6 +35,8 @@ from glyphmill.shared import put_file
 
 NONE = np.int32(0x7FFFFFFF)
 LONG = 96
+#: How many merged words a worker remembers.
+KNOWN = 300_000
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
@@ -149,8 +151,30 @@ def compile_words(words: list[bytes]) -> dict[str, np.ndarray]:
     return {"keys": pick(keys, np.int64), "to": pick(to, np.int32), "add": pick(add, np.int32), "final": final}
 
 
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _slots(keys: np.ndarray, size: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (keys.view(np.uint64) * SPREAD >> np.uint64(65 - size.bit_length())).view(np.int64)
+
+
+def _table(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An open-addressing table at a load of at most 1/4; empty slots hold -1."""
+    size = 1 << (4 * len(keys)).bit_length()
+    table, out = np.full(size, -1, np.int64), np.full(size, NONE, np.int32)
+    left, at = np.arange(len(keys)), _slots(keys, size)
+    while len(left):
+        free = table[at] == -1
+        table[at[free]] = keys[left[free]]
+        done = table[at] == keys[left]
+        out[at[done]] = values[left[done]]
+        left, at = left[~done], (at[~done] + 1) & (size - 1)
+    return table, out
+
+
 def merge_table(ranks: dict[bytes, int]) -> dict[str, np.ndarray]:
-    """Every pair of tokens whose bytes together are a token, sorted; the pair's rank is that token's id."""
+    """Every pair of tokens whose bytes together are a token, in a hash table; the pair's rank is that token's id."""
     pairs, made = [], []
     for token, rank in ranks.items():
         for i in range(1, len(token)):
@@ -158,8 +182,7 @@ def merge_table(ranks: dict[bytes, int]) -> dict[str, np.ndarray]:
             if a is not None and b is not None:
                 pairs.append(a << 32 | b)
                 made.append(rank)
-    pairs_, made_ = np.array(pairs, np.int64), np.array(made, np.int32)
-    order = np.argsort(pairs_)
+    pairs_, made_ = _table(np.array(pairs, np.int64), np.array(made, np.int32))
     size = max(ranks.values()) + 1
     tokens = [b""] * size
     for token, rank in ranks.items():
@@ -170,7 +193,7 @@ def merge_table(ranks: dict[bytes, int]) -> dict[str, np.ndarray]:
         single[byte] = ranks.get(bytes([byte]), -1)
     if (single < 0).any():
         raise ValueError("the vocabulary lacks a byte")
-    return {"pairs": pairs_[order], "made": made_[order], "single": single, "token_at": np.r_[0, np.cumsum(lengths)].astype(np.int64), "token_bytes": np.frombuffer(b"".join(tokens), np.uint8)}
+    return {"pairs": pairs_, "made": made_, "single": single, "token_at": np.r_[0, np.cumsum(lengths)].astype(np.int64), "token_bytes": np.frombuffer(b"".join(tokens), np.uint8)}
 
 
 def pack(arrays: dict[str, np.ndarray]) -> bytes:
@@ -203,66 +226,87 @@ class Codec:
 
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.a = arrays
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known: dict[bytes, int] = {}
+        self.kept = np.zeros(0, np.int32)
+        self.kept_at = np.zeros(1, np.int64)
         self.pairs = {}
 
     # exact merging
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        pairs = self.a["pairs"]
+        table, made = self.a["pairs"], self.a["made"]
         key = left.astype(np.int64) << 32 | right.astype(np.int64)
-        at = np.searchsorted(pairs, key)
-        at[at == len(pairs)] = 0
-        return np.where(pairs[at] == key, self.a["made"][at], NONE)
-
-    def merge_many(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of each word, by lowest-rank merges of all words in lockstep."""
-        out: list = [None] * len(words)
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        order = np.argsort(lengths, kind="stable")
-        for i in order[np.searchsorted(lengths[order], LONG, side="right") :]:
-            out[i] = self.merge_long(words[i])
-        order = order[: np.searchsorted(lengths[order], LONG, side="right")]
-        step = 4096
-        for k in range(0, len(order), step):
-            part = order[k : k + step]
-            for i, ids in zip(part, self._lockstep([words[i] for i in part], lengths[part])):
-                out[i] = ids
+        at = _slots(key, len(table))
+        held = table[at]
+        out = np.where(held == key, made[at], NONE)
+        again = np.flatnonzero((held != key) & (held != -1))
+        while len(again):
+            at = (at[again] + 1 if len(at) != len(again) else at + 1) & (len(table) - 1)
+            held, key = table[at], key[again] if len(key) != len(again) else key
+            hit = held == key
+            out[again[hit]] = made[at[hit]]
+            on = ~hit & (held != -1)
+            again, at, key = again[on], at[on], key[on]
         return out
 
-    def _lockstep(self, words: list[bytes], lengths: np.ndarray) -> list[np.ndarray]:
+    def merge_many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in turn, how many each has), by lowest-rank merges of many words in lockstep."""
+        n = len(words)
+        lengths = np.fromiter(map(len, words), np.int64, n)
+        order = np.argsort(lengths, kind="stable")
+        short = int(np.searchsorted(lengths[order], LONG, side="right"))
+        step, parts, sizes = 4096, [], []
+        for k in range(0, short, step):
+            part = order[k : min(short, k + step)]
+            flat, size = self._lockstep([words[i] for i in part], lengths[part])
+            parts.append(flat)
+            sizes.append(size)
+        for i in order[short:]:
+            parts.append(self.merge_long(words[i]))
+            sizes.append(np.array([len(parts[-1])]))
+        if not parts:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        flat, by_length = np.concatenate(parts), np.concatenate(sizes)
+        begin, size = np.empty(n, np.int64), np.empty(n, np.int64)
+        begin[order], size[order] = np.cumsum(by_length) - by_length, by_length
+        return flat[ragged(size, begin)], size
+
+    def _lockstep(self, words: list[bytes], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n, wide = len(words), int(lengths.max())
-        inside = np.arange(wide) < lengths[:, None]
+        columns = np.arange(wide)
+        inside = columns < lengths[:, None]
         ids = np.full((n, wide + 1), -1, np.int32)
         ids[:, :-1][inside] = self.a["single"][np.frombuffer(b"".join(words), np.uint8)]
         ranks = np.full((n, wide + 1), NONE, np.int32)
-        both = inside[:, 1:]
-        if both.any():
-            r, c = np.nonzero(both)
-            ranks[r, c] = self.rank(ids[r, c], ids[r, c + 1])
+        r, c = np.nonzero(inside[:, 1:])
+        ranks[r, c] = self.rank(ids[r, c], ids[r, c + 1])
         left = lengths.copy()
+        out_ids = ids.copy()
         live = np.arange(n)
-        columns = np.arange(wide)
-        while len(live):
-            part = ranks[live]
-            at = part.argmin(1)
-            best = part[np.arange(len(live)), at]
+        # rows that can merge no more leave; the rest are kept close together
+        while True:
+            at = ranks.argmin(1)
+            best = ranks[np.arange(len(live)), at]
             go = best != NONE
-            live, at, best = live[go], at[go], best[go]
-            if not len(live):
-                break
+            if not go.all():
+                out_ids[live[~go]] = ids[~go]
+                ids, ranks, live, at, best = ids[go], ranks[go], live[go], at[go], best[go]
+                if not len(live):
+                    break
             take = columns + (columns > at[:, None])
-            ids[live, :-1] = np.take_along_axis(ids[live], take, 1)
-            ranks[live, :-1] = np.take_along_axis(ranks[live], take, 1)
-            ids[live, at] = best
+            ids[:, :-1] = np.take_along_axis(ids, take, 1)
+            ranks[:, :-1] = np.take_along_axis(ranks, take, 1)
+            rows = np.arange(len(live))
+            ids[rows, at] = best
             left[live] -= 1
-            ids[live, left[live]] = -1
-            ranks[live, left[live]] = NONE
-            last = at + 1 >= left[live]
-            ranks[live, at] = np.where(last, NONE, self.rank(best, np.where(last, 0, ids[live, at + 1])))
-            prior = at > 0
-            ranks[live[prior], at[prior] - 1] = self.rank(ids[live[prior], at[prior] - 1], best[prior])
-        return [ids[i, : left[i]].copy() for i in range(n)]
+            size = left[live]
+            ids[rows, size] = -1
+            ranks[rows, size] = NONE
+            last = at + 1 >= size
+            ranks[rows, at] = np.where(last, NONE, self.rank(best, np.where(last, 0, ids[rows, at + 1])))
+            prior = np.flatnonzero(at > 0)
+            ranks[prior, at[prior] - 1] = self.rank(ids[prior, at[prior] - 1], best[prior])
+        return out_ids[:, :-1][columns < left[:, None]], left
 
     def merge_long(self, word: bytes) -> np.ndarray:
         """The ids of one long word, by a heap of its pairs."""
@@ -358,16 +402,23 @@ class Codec:
         parts, used = [np.asarray(table)], len(table)
         unseen = np.flatnonzero(~have)
         if len(unseen):
+            # words merged before keep their place in one growing array
             raw_words = words.take(pa.array(unseen)).to_pylist()
             new = [w for w in raw_words if w not in self.known]
-            if len(self.known) + len(new) > 200_000:
+            if len(self.known) + len(new) > KNOWN:
                 self.known.clear()
+                self.kept = np.zeros(0, np.int32)
+                self.kept_at = np.zeros(1, np.int64)
                 new = raw_words
-            self.known.update(zip(new, self.merge_many(new)))
-            found = [self.known[w] for w in raw_words]
-            size[unseen] = np.fromiter(map(len, found), np.int64, len(found))
-            begin[unseen] = used + np.cumsum(size[unseen]) - size[unseen]
-            parts.append(np.concatenate(found))
+            if new:
+                found, n_ids = self.merge_many(new)
+                self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+                self.kept_at = np.r_[self.kept_at, len(self.kept) + np.cumsum(n_ids)]
+                self.kept = np.r_[self.kept, found]
+            index = np.fromiter((self.known[w] for w in raw_words), np.int64, len(raw_words))
+            begin[unseen] = used + self.kept_at[index]
+            size[unseen] = self.kept_at[index + 1] - self.kept_at[index]
+            parts.append(self.kept)
         flat = np.concatenate(parts)
         lengths = size[codes]
         ids = flat[ragged(lengths, begin[codes])]
@@ -423,10 +474,10 @@ def build(spark: SparkSession, p: Bpe, words: list[bytes]) -> str:
 def compiled(p: Bpe, words: list[bytes]) -> dict[str, np.ndarray]:
     merges = merge_table(read_ranks(p.vocabulary))
     words = sorted(set(words))
-    ids = Codec(merges).merge_many(words)
+    ids, sizes = Codec(merges).merge_many(words)
     arrays = merges | compile_words(words)
-    arrays["id_at"] = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int64)
-    arrays["ids"] = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
+    arrays["id_at"] = np.r_[0, np.cumsum(sizes)].astype(np.int64)
+    arrays["ids"] = ids
     return arrays
 
 
