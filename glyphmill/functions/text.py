@@ -18,6 +18,11 @@ STOPWORDS: dict[str, tuple[str, ...]] = {
 EDGE = ".,;:!?()[]{}<>\"'"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: an expression that stands inside a lambda is computed for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def text_or_empty(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
@@ -115,17 +120,27 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(both / F.size(F.array_union(a, b)))
 
 
+def chars(c: Column) -> Column:
+    """The characters of a text."""
+    return F.regexp_extract_all(text_or_empty(c), F.lit("(?s)."), F.lit(0))
+
+
+def windows(items: Column, n: int, separator: str = "") -> Column:
+    """The runs of n neighbours of an array of strings, joined; none where it is shorter."""
+    joined = lambda x: F.transform(F.sequence(F.lit(0), F.size(x) - n), lambda i: F.concat_ws(separator, *[F.get(x, i + k) for k in range(n)]))
+    return let(items, lambda x: F.when(F.size(x) >= n, joined(x)).otherwise(F.array().cast("array<string>")))
+
+
 def char_ngrams(c: Column, n: int) -> Column:
     """R2: the set of n-grams of the text without white space; a shorter text is its own gram."""
-    s = F.regexp_replace(text_or_empty(c), r"\s+", "")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - n + 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(n)))
-    return F.when(F.length(s) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
+    bare = F.regexp_replace(text_or_empty(c), r"\s+", "")
+    return let(bare, lambda s: F.when(F.length(s) == 0, F.array().cast("array<string>")).when(F.length(s) <= n, F.array(s)).otherwise(F.array_distinct(windows(chars(s), n))))
 
 
 def gram_similarity(a: Column, b: Column) -> Column:
-    """R2: Jaccard index of gram sets; 1 where both are empty."""
+    """R2: Jaccard index of two gram sets; 1 where both are empty."""
     both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / F.greatest(F.size(F.array_union(a, b)), F.lit(1)))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(let(both, lambda n: n / F.greatest(F.size(a) + F.size(b) - n, F.lit(1))))
 
 
 def blocks(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.functions.text import text_or_empty
+from glyphmill.functions.text import chars, text_or_empty, windows
 
 CHAR_ORDERS, WORD_ORDERS, BLEU_ORDERS = 6, 2, 4
 
@@ -27,13 +27,8 @@ def tokens_13a(c: Column) -> Column:
     return F.filter(F.split(s, r"\s+"), lambda t: t != "")
 
 
-def grams(items: Column, n: int) -> Column:
-    """The n-grams of an array of strings, joined by a separator."""
-    return F.when(F.size(items) >= n, F.transform(F.sequence(F.lit(1), F.size(items) - n + 1), lambda i: F.array_join(F.slice(items, i, n), "\u0001"))).otherwise(F.array().cast("array<string>"))
-
-
 def characters(c: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(text_or_empty(c), r"\s+", ""), ""), lambda t: t != "")
+    return chars(F.regexp_replace(text_or_empty(c), r"\s+", ""))
 
 
 def statistics(df: DataFrame, key: str, hyp: str, ref: str, kinds: dict[str, tuple[Column, Column, int]]) -> DataFrame:
@@ -45,7 +40,7 @@ def statistics(df: DataFrame, key: str, hyp: str, ref: str, kinds: dict[str, tup
     for side in (0, 1):
         for kind, spec in kinds.items():
             for n in range(1, spec[2] + 1):
-                rows.append(F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("n"), F.lit(side).alias("side"), grams(spec[side], n).alias("grams")))
+                rows.append(F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("n"), F.lit(side).alias("side"), windows(spec[side], n, "\u0001").alias("grams")))
     long = df.select(key, F.explode(F.array(*rows)).alias("s")).select(key, "s.kind", "s.n", "s.side", F.explode("s.grams").alias("gram"))
     by_gram = long.groupBy(key, "kind", "n", "gram").agg(F.count_if(F.col("side") == 0).alias("h"), F.count_if(F.col("side") == 1).alias("r"))
     return by_gram.groupBy(key, "kind", "n").agg(F.sum(F.least("h", "r")).alias("matches"), F.sum("h").alias("n_hyp"), F.sum("r").alias("n_ref"))

@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.functions.text import punctuation_excess, text_or_empty
+from glyphmill.functions.text import chars, let, punctuation_excess, text_or_empty, windows
 from glyphmill.operators.ordering import first_by
 
 
 def char_terms(c: Column, low: int, high: int) -> Column:
     """All n-grams of low..high characters, white space collapsed, with repeats."""
-    s = F.regexp_replace(text_or_empty(c), r"\s\s+", " ")
-    size = F.length(s)
-    parts = [F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i, n=n: F.substring(s, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)]
-    return F.concat(*parts)
+    collapsed = F.regexp_replace(text_or_empty(c), r"\s\s+", " ")
+    return let(chars(collapsed), lambda x: F.concat(*[windows(x, n) for n in range(low, high + 1)]))
 
 
 def counts(df: DataFrame, key: str, text: str, low: int, high: int) -> DataFrame:

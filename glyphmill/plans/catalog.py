@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from glyphmill.plans import corpus, dialogue, search, splits
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = corpus.QUERIES | dialogue.QUERIES | search.QUERIES | splits.QUERIES
+ORACLE_SQL: dict[str, str] = corpus.ORACLE_SQL | dialogue.ORACLE_SQL | search.ORACLE_SQL | splits.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Documents without flags by language, after cleaning and measuring."""
+    return corpus.clean_rows(spark, sf_dir)
