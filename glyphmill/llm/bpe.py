@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphmill.llm.textbuf import BREAK, SPACE, classes, ragged, raw, slices, strings
-from glyphmill.shared import put_file
+from glyphmill.shared import put_file, write_shared
 
 NONE = np.int32(0x7FFFFFFF)
 LONG = 96
@@ -482,9 +482,22 @@ def compiled(p: Bpe, words: list[bytes]) -> dict[str, np.ndarray]:
 
 
 def frequent(docs: DataFrame, p: Bpe, text: str = "text") -> list[bytes]:
-    """The most frequent words of all of docs, at most p.lexicon; ties go by the word's bytes."""
-    top = word_counts(docs, text).where("n > 1").orderBy(F.desc("n"), "word").limit(p.lexicon)
-    return [bytes(r.word) for r in top.select("word").toLocalIterator()]
+    """The most frequent words of all of docs, at most p.lexicon.
+
+    Words are ranked by bands of their counts, eight to a doubling; a band enters whole or not at all. So only the bands'
+    sizes and the chosen words reach the driver, and no task gathers candidates from all others.
+    """
+    counts = write_shared(word_counts(docs, text).where("n > 1").withColumn("band", F.floor(F.log2("n") * 8)), "words")
+    sizes = sorted(((r[0], r[1]) for r in counts.groupBy("band").count().collect()), reverse=True)
+    total, least = 0, None
+    for band, n in sizes:
+        total += n
+        if total > p.lexicon:
+            break
+        least = band
+    if least is None:
+        return []
+    return [bytes(r.word) for r in counts.where(F.col("band") >= least).select("word").collect()]
 
 
 _codecs: dict[str, Codec] = {}
