@@ -11,14 +11,13 @@ from glyphmill.operators import lexicon
 from glyphmill.operators.ordering import first_by
 from glyphmill.plans.common import STATS, r6, read, sql_bare, sql_clean, sql_hits, sql_tokens, sql_words
 
-TEXT = F.col("text")
 #: Limits of the document gate (Q3, Q5): a text outside one of them carries its flag.
 LEAST_TOKENS, MOST_CHARS, LEAST_ALPHA, MOST_DIGIT, MOST_SYMBOL, MOST_UPPER = 8, 5000, 0.75, 0.05, 0.20, 0.30
 
 
 def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return docs.select("*", *[c.alias(k) for k, c in X.text_stats(TEXT).items()])
+    return docs.select("*", *[c.alias(k) for k, c in X.text_stats(F.col("text")).items()])
 
 
 def doc_text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,10 +34,10 @@ def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("high_digit", F.col("digit_ratio") > MOST_DIGIT),
         ("high_symbol", F.col("symbol_ratio") > MOST_SYMBOL),
         ("high_upper", F.col("upper_ratio") > MOST_UPPER),
-        ("odd_quote", F.regexp_count(X.text_or_empty(TEXT), F.lit('"')) % 2 == 1),
-        ("trailing_quote", X.text_or_empty(TEXT).rlike(r"[\"'][ ]*$")),
-        ("control", X.text_or_empty(TEXT).rlike(r"[\x00-\x08\x0E-\x1B]")),
-        ("broken_placeholder", F.regexp_replace(X.text_or_empty(TEXT), "<gap>|<big_gap>", "").rlike("[<>]")),
+        ("odd_quote", F.regexp_count(X.text_or_empty(F.col("text")), F.lit('"')) % 2 == 1),
+        ("trailing_quote", X.text_or_empty(F.col("text")).rlike(r"[\"'][ ]*$")),
+        ("control", X.text_or_empty(F.col("text")).rlike(r"[\x00-\x08\x0E-\x1B]")),
+        ("broken_placeholder", F.regexp_replace(X.text_or_empty(F.col("text")), "<gap>|<big_gap>", "").rlike("[<>]")),
     )
     return m.withColumn("flags", found)
 
@@ -74,41 +73,41 @@ def series_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Empty rate, unique ratio and average share of distinct tokens by source."""
-    t = X.tokens(TEXT)
+    t = X.tokens(F.col("text"))
     docs = read(spark, sf_dir, "documents").select("source", "text", (F.size(F.array_distinct(t)) / F.greatest(F.size(t), F.lit(1))).alias("u"))
-    return docs.groupBy("source").agg(F.count("*").alias("rows"), r6(F.avg((F.trim(X.text_or_empty(TEXT)) == "").cast("double"))).alias("empty_rate"), r6(F.countDistinct("text") / F.count("*")).alias("unique_ratio"), r6(F.avg("u")).alias("unique_tokens"))
+    return docs.groupBy("source").agg(F.count("*").alias("rows"), r6(F.avg((F.trim(X.text_or_empty(F.col("text"))) == "").cast("double"))).alias("empty_rate"), r6(F.countDistinct("text") / F.count("*")).alias("unique_ratio"), r6(F.avg("u")).alias("unique_tokens"))
 
 
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T1."""
-    return read(spark, sf_dir, "documents").select("doc_id", X.clean(TEXT).alias("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", X.clean(F.col("text")).alias("text"))
 
 
 def gap_and_caps_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10-A12."""
-    t = X.tokens(TEXT)
-    docs = read(spark, sf_dir, "documents").select("source", TEXT.rlike("<gap>|<big_gap>").cast("double").alias("gap"), F.size(F.filter(t, lambda x: x.rlike("^[A-Z]{2,}[.,;:!?]*$"))).alias("caps"), F.size(t).alias("n"), F.length("text").alias("len"))
+    t = X.tokens(F.col("text"))
+    docs = read(spark, sf_dir, "documents").select("source", F.col("text").rlike("<gap>|<big_gap>").cast("double").alias("gap"), F.size(F.filter(t, lambda x: x.rlike("^[A-Z]{2,}[.,;:!?]*$"))).alias("caps"), F.size(t).alias("n"), F.length("text").alias("len"))
     return docs.groupBy("source").agg(r6(F.avg("gap")).alias("gap_rate"), r6(F.sum("caps") / F.greatest(F.sum("n"), F.lit(1))).alias("caps_rate"), r6(F.avg("len")).alias("avg_len"))
 
 
 def block_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each block."""
-    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.blocks(TEXT)).alias("block", "text")).select("doc_id", F.col("block").cast("long").alias("block"), "text")
+    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.blocks(F.col("text"))).alias("block", "text")).select("doc_id", F.col("block").cast("long").alias("block"), "text")
 
 
 def sentence_endings_naive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """N3 without protection."""
-    return read(spark, sf_dir, "documents").select("doc_id", X.sentence_endings(TEXT).cast("long").alias("n_endings"))
+    return read(spark, sf_dir, "documents").select("doc_id", X.sentence_endings(F.col("text")).cast("long").alias("n_endings"))
 
 
 def sentence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sentence of every document."""
     docs = read(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.posexplode(udfs.apply("split_sentences", TEXT)).alias("sentence", "text"))
+    return docs.select("doc_id", F.posexplode(udfs.apply("split_sentences", F.col("text"))).alias("sentence", "text"))
 
 
 def languages(docs: DataFrame) -> DataFrame:
-    w = docs.select("*", X.words(TEXT).alias("_words"), *[c.alias(k) for k, c in X.text_stats(TEXT).items()])
+    w = docs.select("*", X.words(F.col("text")).alias("_words"), *[c.alias(k) for k, c in X.text_stats(F.col("text")).items()])
     hits = w.select("*", *[X.stopword_hits(F.col("_words"), k).alias(f"hits_{k}") for k in X.STOPWORDS])
     name, confidence = X.language_of({k: F.col(f"hits_{k}") for k in X.STOPWORDS}, F.size("_words"), F.col("alpha_ratio"), F.col("upper_ratio"))
     return hits.select("*", name.alias("detected"), confidence.alias("confidence")).drop("_words")
@@ -140,7 +139,7 @@ def translation_like(spark: SparkSession, sf_dir: str) -> DataFrame:
 def translit_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B7, B8, B10."""
     d = measured(spark, sf_dir)
-    marks = X.marker_ratio(TEXT)
+    marks = X.marker_ratio(F.col("text"))
     return d.select("doc_id", r6(marks).alias("marker_ratio"), r6(F.greatest(marks, F.col("upper_ratio"))).alias("translit_score"), ((marks >= 0.35) | (F.col("upper_ratio") >= 0.35)).alias("is_translit"))
 
 
@@ -150,7 +149,7 @@ REMOVED = (r"\[\d{1,3}\]", r"https?://\S+")
 
 def page_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that a rule drops, parts that a rule removes, and what stays."""
-    lines = F.split(X.text_or_empty(TEXT), "\n")
+    lines = F.split(X.text_or_empty(F.col("text")), "\n")
     d = read(spark, sf_dir, "documents").select("doc_id", lines.alias("lines"))
     d = d.withColumn("kept", F.filter("lines", lambda x: ~x.rlike("|".join(f"(?:{p})" for p in DROPPED))))
     joined = F.array_join("kept", "\n")
@@ -165,13 +164,13 @@ def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def template_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that occur more than once after normalisation, by frequency."""
-    d = read(spark, sf_dir, "documents").select(F.lower(X.clean(TEXT)).alias("t"))
+    d = read(spark, sf_dir, "documents").select(F.lower(X.clean(F.col("text"))).alias("t"))
     return d.groupBy("t").agg(F.count("*").alias("n")).where("n > 1").select(F.md5("t").alias("template"), "n")
 
 
 def pair_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first document of each text and language."""
-    d = read(spark, sf_dir, "documents").select("doc_id", F.md5(F.concat_ws("\t", "lang", X.clean(TEXT))).alias("pair_hash"))
+    d = read(spark, sf_dir, "documents").select("doc_id", F.md5(F.concat_ws("\t", "lang", X.clean(F.col("text")))).alias("pair_hash"))
     return first_by(d, ["pair_hash"], [F.asc("doc_id")])
 
 
@@ -183,7 +182,7 @@ def union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def translation_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of other languages than English, one row for each distinct block, first seen first."""
-    d = read(spark, sf_dir, "documents").where("lang <> 'en'").select("doc_id", "lang", "source", F.posexplode(X.blocks(TEXT)).alias("block", "text"))
+    d = read(spark, sf_dir, "documents").where("lang <> 'en'").select("doc_id", "lang", "source", F.posexplode(X.blocks(F.col("text"))).alias("block", "text"))
     d = d.withColumn("block_hash", F.md5("text"))
     least = F.struct("doc_id", "block")
     g = d.groupBy("block_hash").agg(F.count("*").alias("occurrences"), F.min_by(F.struct("lang", "source", "doc_id", F.col("block").cast("long").alias("block")), least).alias("f"), F.array_join(F.array_sort(F.collect_set("source")), "|").alias("sources"))
@@ -192,11 +191,11 @@ def translation_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metadata_signature_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items as catalogue keys; documents that hold all words of a key, probed by its rarest word."""
-    keys = read(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(X.words(TEXT)).alias("key")).where(F.size("key") > 0)
+    keys = read(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(X.words(F.col("text"))).alias("key")).where(F.size("key") > 0)
     tokens = keys.select("item_id", F.explode("key").alias("token"))
     frequency = tokens.groupBy("token").agg(F.count("*").alias("freq"))
     signature = tokens.join(frequency, "token").groupBy("item_id").agg(F.min_by("token", F.struct("freq", F.length("token"), "token")).alias("signature"))
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.array_distinct(X.words(TEXT)).alias("words"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.array_distinct(X.words(F.col("text"))).alias("words"))
     # the words of a document travel once for each candidate, not once for each word
     probe = docs.select("doc_id", F.explode("words").alias("signature")).join(signature, "signature")
     held = probe.join(docs, "doc_id").join(keys, "item_id").where(F.size(F.array_except("key", "words")) == 0)
@@ -235,13 +234,13 @@ def slot_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def normalized_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in variants A, B and C."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", *[udfs.apply(f"normalize_transliteration_{v}", TEXT).alias(v) for v in "abc"])
+    docs = read(spark, sf_dir, "documents").select("doc_id", *[udfs.apply(f"normalize_transliteration_{v}", F.col("text")).alias(v) for v in "abc"])
     return docs.select("doc_id", F.explode(F.create_map(*[x for v in "abc" for x in (F.lit(v.upper()), F.col(v))])).alias("variant", "text"))
 
 
 def normalized_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as one normalised sentence each."""
-    return read(spark, sf_dir, "documents").select("doc_id", udfs.apply("single_sentence", udfs.apply("normalize_output", TEXT)).alias("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", udfs.apply("single_sentence", udfs.apply("normalize_output", F.col("text"))).alias("text"))
 
 
 def lines_of(d: str) -> str:

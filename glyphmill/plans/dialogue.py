@@ -12,12 +12,15 @@ from glyphmill.operators import align, metrics
 from glyphmill.operators.ordering import first_by
 from glyphmill.plans.common import r6, read, sql_bare, sql_grams, sql_jaccard, sql_tokens
 
-BY_TURN = Window.partitionBy("conv_id").orderBy("turn")
 GRAM, SHIFT = 4, 3
 #: Audit thresholds.
 SIM, MARGIN, NEAR, SHORT, LONG, TEMPLATE, TEMPLATE_SIM = 0.85, 0.08, 0.90, 0.35, 2.5, 5, 0.55
 
 
+def by_turn():
+    return Window.partitionBy("conv_id").orderBy("turn")
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations")
 
@@ -25,7 +28,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, turn, src, tgt): each user turn and the assistant turn after it."""
     t = turns(spark, sf_dir)
-    after = t.select("conv_id", "turn", "role", F.col("text").alias("src"), F.lead("role").over(BY_TURN).alias("next_role"), F.lead("text").over(BY_TURN).alias("tgt"))
+    after = t.select("conv_id", "turn", "role", F.col("text").alias("src"), F.lead("role").over(by_turn()).alias("next_role"), F.lead("text").over(by_turn()).alias("tgt"))
     return after.where("role = 'user' and next_role = 'assistant'").select("conv_id", "turn", "src", "tgt")
 
 
@@ -35,7 +38,7 @@ SQL_PAIRS = "pairs as (select conv_id, turn, text as src, next_text as tgt from
 def anchor_tokens_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchors that a turn shares with the one before it."""
     t = turns(spark, sf_dir).select("conv_id", "turn", X.anchors(F.col("text")).alias("a"))
-    t = t.withColumn("b", F.lag("a").over(BY_TURN)).where("b is not null")
+    t = t.withColumn("b", F.lag("a").over(by_turn())).where("b is not null")
     return t.select("conv_id", "turn", r6(X.jaccard(F.col("a"), F.col("b"))).alias("jaccard"))
 
 
@@ -74,7 +77,7 @@ def context_window(spark: SparkSession, sf_dir: str, k: int = 2) -> DataFrame:
     tagged = lambda tag, c: F.concat(F.lit(f"<{tag}> "), c)
     text = X.clean(F.col("text"))
     t = turns(spark, sf_dir).select("conv_id", "turn", text.alias("text"))
-    parts = [tagged(f"P{i}", F.lag("text", i).over(BY_TURN)) for i in range(k, 0, -1)] + [tagged("T", F.col("text"))] + [tagged(f"N{i}", F.lead("text", i).over(BY_TURN)) for i in range(1, k + 1)]
+    parts = [tagged(f"P{i}", F.lag("text", i).over(by_turn())) for i in range(k, 0, -1)] + [tagged("T", F.col("text"))] + [tagged(f"N{i}", F.lead("text", i).over(by_turn())) for i in range(1, k + 1)]
     return t.select("conv_id", "turn", F.concat_ws(" ", *parts).alias("context"))
 
 
@@ -157,9 +160,9 @@ def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = p.select("*", n1(F.col("ref_n0")).alias("ref_n1"), n1(F.col("pred_n0")).alias("pred_n1"))
     p = p.select("*", n2(F.col("ref_n1")).alias("ref_n2"), n2(F.col("pred_n1")).alias("pred_n2"))
     p = p.select("*", X.char_ngrams(F.col("pred_n2"), GRAM).alias("pg"), X.char_ngrams(F.col("ref_n2"), GRAM).alias("rg"))
-    near = {k: (F.lag("rg", -k).over(BY_TURN) if k < 0 else F.lead("rg", k).over(BY_TURN)) if k else F.col("rg") for k in range(-SHIFT, SHIFT + 1)}
+    near = {k: (F.lag("rg", -k).over(by_turn()) if k < 0 else F.lead("rg", k).over(by_turn())) if k else F.col("rg") for k in range(-SHIFT, SHIFT + 1)}
     empty = F.array().cast("array<string>")
-    p = p.select("*", *[F.coalesce(c, empty).alias(f"rg_{k + SHIFT}") for k, c in near.items()], F.concat_ws(" ", "ref_n2", F.coalesce(F.lead("ref_n2").over(BY_TURN), F.lit(""))).alias("with_next"), F.concat_ws(" ", F.coalesce(F.lag("ref_n2").over(BY_TURN), F.lit("")), "ref_n2").alias("with_prev"))
+    p = p.select("*", *[F.coalesce(c, empty).alias(f"rg_{k + SHIFT}") for k, c in near.items()], F.concat_ws(" ", "ref_n2", F.coalesce(F.lead("ref_n2").over(by_turn()), F.lit(""))).alias("with_next"), F.concat_ws(" ", F.coalesce(F.lag("ref_n2").over(by_turn()), F.lit("")), "ref_n2").alias("with_prev"))
     sims = [X.gram_similarity(F.col("pg"), F.col(f"rg_{k + SHIFT}")).alias(f"sim_{k + SHIFT}") for k in near]
     merged = [X.gram_similarity(F.col("pg"), X.char_ngrams(F.col(f"with_{side}"), GRAM)).alias(f"sim_merge_{side}") for side in ("next", "prev")]
     p = p.select("*", *sims, *merged)
@@ -205,7 +208,7 @@ def shift_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The neighbouring turn within three places that is most like each turn."""
     t = turns(spark, sf_dir).select("conv_id", "turn", X.char_ngrams(F.lower(F.col("text")), GRAM).alias("g"))
     offsets = [k for k in range(-SHIFT, SHIFT + 1) if k]
-    t = t.select("*", *[(F.lag("g", -k) if k < 0 else F.lead("g", k)).over(BY_TURN).alias(f"g_{k + SHIFT}") for k in offsets])
+    t = t.select("*", *[(F.lag("g", -k) if k < 0 else F.lead("g", k)).over(by_turn()).alias(f"g_{k + SHIFT}") for k in offsets])
     t = t.select("conv_id", "turn", *[F.when(F.col(f"g_{k + SHIFT}").isNotNull(), X.gram_similarity(F.col("g"), F.col(f"g_{k + SHIFT}"))).otherwise(F.lit(-1.0)).alias(f"s_{k + SHIFT}") for k in offsets])
     best = F.array_max(F.array(*[F.struct(F.col(f"s_{k + SHIFT}").alias("s"), F.lit(-k).alias("o")) for k in offsets]))
     return t.select("conv_id", "turn", best.alias("b")).where("b.s >= 0").select("conv_id", "turn", (-F.col("b.o")).cast("long").alias("best_offset"), r6(F.col("b.s")).alias("best_sim"))
