@@ -120,6 +120,24 @@ def test_pii_windows_cover_long_texts(network):
     assert pii._by_text(array(["", " ", "no anchors"]), network, pii.Pii()) == {}
 
 
+def test_pii_addresses_longer_than_the_margin(network):
+    for mail in ("maria.fernandez@informatik.uni-heidelberg.de", "maximilian.schwarzenberger.von.altenburg@example.com", "administration@students.department-of-mathematics.university-of-somewhere.edu"):
+        text = f"Please write to {mail} for the plan of the day and nothing else of that kind."
+        for p in (pii.Pii(), pii.Pii(screen=False)):
+            assert [(text[a:b], k) for a, b, k in pii._by_text(array([text]), network, p)[0]] == [(mail, "EMAIL")]
+
+
+def test_pii_stretches_hold_whole_runs():
+    p = pii.Pii()
+    texts = ["x" * 300 + "@" + "y" * 300, "z" * 50, "a " * 40 + "b" * 70 + "7 " + "c " * 40]
+    sizes = np.array([len(t) for t in texts])
+    starts = np.cumsum(sizes) - sizes
+    cp = np.array([ord(c) for c in "".join(texts)], np.uint32)
+    lo, hi = pii.stretches(cp, starts, starts + sizes, p.margin)
+    assert list(zip(lo.tolist(), hi.tolist())) == [(0, 601), (651 + 80 - p.margin, 651 + 80 + 71 + p.margin)]
+    assert pii.reached("a" * 60 + "@" + "b" * 60, p.margin) and not pii.reached("Number 7 " + "word " * 10, p.margin) and not pii.reached("words", p.margin)
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(0)
     e, trans, first = rng.normal(size=(1, 5, pii.K)), rng.normal(size=(pii.K, pii.K)), rng.normal(size=pii.K)
