@@ -6,12 +6,12 @@ on the presence of words and word beginnings is trained in numpy on the risk
 with the sigmoid loss; where the second part falls below zero its gradient is reversed, so the estimate can't be fitted
 below zero. prior is the share of toxic documents; where it is None it is the share among the rows with a label.
 
-Training reads a bounded sample (`positives`, `unlabelled`: the documents of the least hashes); features are words and
-beginnings of words (`PREFIXES` characters, for inflected and compound forms) that
-stand in at least `least_share` of the sampled positives, at least `least_count` of them, in `least_z` standard errors
-more of them than their share of the unlabelled ones foretells, and of whose documents the share that is toxic, by the
-prior, is at least `least_precision`. The unlabelled sample is of all documents, labelled or not, as the risk demands. Scoring reads every document whole. Words are matched by
-64-bit hash.
+Features are words and beginnings of words (`PREFIXES` characters, for inflected and compound forms) that stand in at least
+`least_count` positives, in `least_z` standard errors more of them than their share of all documents foretells, and of whose
+documents the share that is toxic, by the prior, is at least `least_precision`. They are chosen by counts over all documents
+and all positives, and none is left out. The rows that the weights are fitted to are bounded (`positives`, `unlabelled`:
+those of the least hashes); the unlabelled ones are of all documents, labelled or not, as the risk demands. Scoring reads
+every document whole. Words are matched by 64-bit hash.
 
 Cases: null and empty texts are not toxic; null labels are no labels; repeated labels count once; without any positive
 nothing is toxic; repeated documents are scored alike; very long texts are read whole; empty tables give an empty one.
@@ -39,11 +39,9 @@ class Toxicity:
     positives: int = 4000
     unlabelled: int = 12000
     prior: float | None = None
-    least_share: float = 0.005
     least_count: int = 3
     least_z: float = 5.0
     least_precision: float = 0.5
-    features: int = 20_000
     steps: int = 400
     rate: float = 0.05
     decay: float = 1e-3
@@ -117,37 +115,41 @@ def train(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> Model
     spark = docs.sparkSession
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = [F.xxhash64(F.lit(p.seed), F.col("doc_id")), F.col("doc_id")]
-    chosen = known.where("toxic = 1").orderBy(*order).limit(p.positives).select("doc_id", F.lit(True).alias("positive"))
-    ids = docs.select("doc_id").where("doc_id is not null").distinct()
-    others = ids.orderBy(*order).limit(p.unlabelled).select("doc_id", F.lit(False).alias("positive"))
-    picked = chosen.unionByName(others).collect()
-    # bounded by the two sample sizes
-    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(spark.createDataFrame(picked, "doc_id long, positive boolean")), "doc_id")
-    share = known.agg(F.avg("toxic")).first()[0]
-    n_pos = sum(r.positive for r in picked)
-    if not n_pos or n_pos == len(picked):
+    narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    # ids alone are broadcast, so that no text is shuffled
+    marked = narrow.join(F.broadcast(known.where("toxic = 1").select("doc_id", F.lit(True).alias("positive"))), "doc_id", "left").withColumn("positive", F.coalesce("positive", F.lit(False)))
+    n_pos, n_all = marked.agg(F.count_if("positive"), F.count("*")).first()
+    if not n_pos:
         return None
+    share = known.agg(F.avg("toxic")).first()[0]
     prior = p.prior if p.prior is not None else min(0.9, max(1e-3, float(share)))
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 word, text = map(np.concatenate, zip(*terms(strings(batch.column("text")))))
-                order = np.lexsort((word, text))
+                order = np.lexsort((text, word))
                 word, text = word[order], text[order]
                 first = np.r_[True, (word[1:] != word[:-1]) | (text[1:] != text[:-1])] if len(word) else np.zeros(0, bool)
                 word, text = word[first], text[first]
-                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), batch.column("positive").take(pa.array(text))], names=["word", "positive"])
-
-    counted = sample.mapInArrow(hashed, "word long, positive boolean").groupBy("word").agg(F.count_if(F.col("positive")).alias("k"), F.count_if(~F.col("positive")).alias("u"))
-    least = max(p.least_count, int(np.ceil(p.least_share * n_pos)))
-    n_un = len(picked) - n_pos
-    share_un = (F.col("u") + 1) / (n_un + 2)
-    z = (F.col("k") - n_pos * share_un) / F.sqrt(n_pos * share_un * (1 - share_un))
-    precision = prior * F.col("k") / n_pos / share_un
-    found = counted.where((F.col("k") >= least) & (z >= p.least_z) & (precision >= p.least_precision)).orderBy(z.desc(), "word").limit(p.features).collect()
-    hashes = np.sort(np.array([r.word for r in found], np.int64).view(np.uint64))
+                at = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.zeros(0, np.int64)
+                toxic = np.r_[0, np.cumsum(batch.column("positive").to_numpy(zero_copy_only=False)[text])]
+                ends = np.r_[at[1:], len(word)] if len(at) else at
+                yield pa.RecordBatch.from_arrays([pa.array(word[at].view(np.int64)), pa.array((toxic[ends] - toxic[at]).astype(np.int64)), pa.array((ends - at).astype(np.int64))], names=["word", "k", "u"])
+
+    counted = marked.mapInArrow(counts, "word long, k long, u long").groupBy("word").agg(F.sum("k").alias("k"), F.sum("u").alias("u"))
+    share_all = (F.col("u") + 1) / (n_all + 2)
+    z = (F.col("k") - n_pos * share_all) / F.sqrt(n_pos * share_all * (1 - share_all))
+    precision = prior * F.col("k") / n_pos / share_all
+    found = counted.where((F.col("k") >= p.least_count) & (z >= p.least_z) & (precision >= p.least_precision)).select("word").toArrow()
+    hashes = np.sort(found["word"].to_numpy().view(np.uint64))
+
+    hashed = [F.xxhash64(F.lit(p.seed), F.col("doc_id")), F.col("doc_id")]
+    chosen = marked.where("positive").select("doc_id").distinct().orderBy(*hashed).limit(p.positives).select("doc_id", F.lit(True).alias("positive"))
+    others = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(*hashed).limit(p.unlabelled).select("doc_id", F.lit(False).alias("positive"))
+    picked = chosen.unionByName(others).collect()
+    # bounded by the two sample sizes
+    sample = narrow.join(F.broadcast(spark.createDataFrame(picked, "doc_id long, positive boolean")), "doc_id")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -118,6 +118,18 @@ def test_toxicity_held_out(spark, size):
     assert len(found & (set(truth) - positive)) <= 0.05 * len(truth)
 
 
+def test_toxicity_counts_terms_over_all_documents(spark):
+    ship(spark)
+    # above both sample sizes: 40,000 documents, 4,100 of them confirmed, 12 of those by a word that few documents hold
+    rare, common = "id < 18", "id % 8 = 0"
+    text = f"concat('plain words of row ', cast(id % 7 as string), ' run on ', case when {rare} then 'zorgblat' when {common} then 'fraknor' else 'quietly' end, ' to their end')"
+    docs = spark.range(40_000).selectExpr("id as doc_id", f"{text} as text")
+    labels = spark.range(40_000).where(f"id < 12 or {common} and id >= 18 and id < 32722 or id % 8 = 1 and id >= 18").selectExpr("id as doc_id", f"cast(id < 12 or {common} as int) as toxic")
+    found = {r.doc_id for r in toxicity.toxic_documents(docs, labels).collect()}
+    assert set(range(18)) <= found
+    assert found - set(range(18)) == {i for i in range(18, 40_000) if i % 8 == 0}
+
+
 def test_pipeline_stages(spark, odd, table):
     docs = table("documents")
     for name, stage in corpus_pipeline.STAGES[:3]:
