@@ -289,3 +289,13 @@ def test_secret_scan():
     found = secrets.find(array(texts), secrets.Secrets())
     assert [((texts[t] or "")[a:b], k) for t, a, b, k, _ in found] == [(key, "upper"), (token, "hex"), (token + token, "hex")]
     assert re.fullmatch("[0-9a-f]+", token)
+
+
+
+def test_secret_scan_short_marked_and_lower_case():
+    secret = ["password=Xk9$v2Lq!mR7", "token: 9f8a3c1b", "secret = 'q7w9x2'", "api_key=hunterzqx", "pwd=73019264.", "passwd=nöXk9v2L", "Xk9$v2Lq!mR7", "9f8a3c1be7", "aB3dE9xQ", "X7Q2M9K4", "qzjxkvbwypfmghtdlcnrsuoaie"]
+    value = ["Xk9$v2Lq!mR7", "9f8a3c1b", "q7w9x2", "hunterzqx", "73019264", "nöXk9v2L", "Xk9$v2Lq!mR7", "9f8a3c1be7", "aB3dE9xQ", "X7Q2M9K4", "qzjxkvbwypfmghtdlcnrsuoaie"]
+    texts = [f"ü the {s} of them" for s in secret]
+    assert [texts[t][a:b] for t, a, b, *_ in secrets.find(array(texts), secrets.Secrets())] == value
+    harmless = ["password: aaaaaaaa", "the token is here", "COVID-19 and Figure12", "call 555-2485 on 2024-01-15", "getUserName toUpperCase", "internationalization unwahrscheinlichkeiten", "THE TABLE OF CONTENTS", "Wow!!! really***great"]
+    assert secrets.find(array(harmless), secrets.Secrets()) == []
