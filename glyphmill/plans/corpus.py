@@ -148,7 +148,7 @@ REMOVED = (r"\[\d{1,3}\]", r"https?://\S+")
 
 
 def page_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that a rule drops, parts that a rule removes, and what stays."""
+    """The frame of B11 with five rules of our own, not the reference's table: lines dropped, parts removed, and what stays. A14 is two counters of 18."""
     lines = F.split(X.text_or_empty(F.col("text")), "\n")
     d = read(spark, sf_dir, "documents").select("doc_id", lines.alias("lines"))
     d = d.withColumn("kept", F.filter("lines", lambda x: ~x.rlike("|".join(f"(?:{p})" for p in DROPPED))))
