@@ -190,7 +190,7 @@ def translation_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metadata_signature_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items as catalogue keys; documents that hold all words of a key, probed by its rarest word."""
+    """L5, J5 in part (catalogue and tokens are open, see README): benchmark items as catalogue keys; documents that hold all words of a key, probed by its rarest word."""
     keys = read(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(X.words(F.col("text"))).alias("key")).where(F.size("key") > 0)
     tokens = keys.select("item_id", F.explode("key").alias("token"))
     frequency = tokens.groupBy("token").agg(F.count("*").alias("freq"))
