@@ -1,4 +1,4 @@
-"""Character n-gram TF-IDF retrieval by postings joins (R3-R11) and rule reranking."""
+"""Character n-gram TF-IDF retrieval by postings joins (R3-R7, R11) and rule reranking."""
 
 from __future__ import annotations
 

@@ -215,7 +215,7 @@ def shift_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def todo_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two worst rows of each conversation with priority and action."""
+    """U8 in part, W8, W13: the two worst rows of each conversation with priority; four classes, no action (see README)."""
     a = audited(spark, sf_dir).where("primary <> 'T00_EXACT'")
     kind = F.when(F.col("primary").startswith("T3"), "ALIGN").when(F.col("primary").isin("T01_UNICODE_OR_WS", "T02_PUNCT_SPACING", "T03_CASE_OR_MINOR_STYLE"), "STYLE").when(F.col("primary").startswith("T2"), "DECODE").otherwise("MODEL")
     priority = F.when(kind == "ALIGN", 1).when(kind == "DECODE", 2).when(kind == "MODEL", 3).otherwise(4)
