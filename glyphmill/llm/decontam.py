@@ -6,12 +6,13 @@ passage of the document; edits are one per `per_edit` characters of the window.
 T = w + 1 - q(e + 1) q-grams with the window, on diagonals (place in the document less place in the item) that differ by
 at most e. So q-gram hits are counted in overlapping bands of diagonals, regions with T hits within a window's length
 are retained, and banded alignment decides. No passage within the budget is lost; nothing beyond it is reported.
+Items shorter than a q-gram are searched for as whole words without edits.
 
 The items' q-grams are broadcast in blocks of at most `block_chars` characters: a larger benchmark takes more passes
 over the documents, each with a bounded broadcast, and no shuffle of the documents ever.
 
-Cases: null and empty texts are never contaminated; null texts and items of under `least_item` normalised characters
-are not searched for; items with one text are each reported; repeated documents give repeated rows; empty tables give an
+Cases: null and empty texts are never contaminated; null texts and items of under `least_item`
+normalised characters, by default those without any word, are not searched for; items with one text are each reported; repeated documents give repeated rows; empty tables give an
 empty result (or all documents, when filtering); very long texts are searched whole; other columns pass unchanged.
 """
 
@@ -35,7 +36,7 @@ class Decontam:
     q: int = 12
     window: int = 96
     per_edit: int = 16
-    least_item: int = 32
+    least_item: int = 1
     block_chars: int = 4_000_000
 
     def budget(self, length: int) -> tuple[int, int, int]:
@@ -87,7 +88,14 @@ class Index:
     def __init__(self, texts: list[str], p: Decontam):
         self.p = p
         cp, start, end = normalised(pa.array(texts, pa.string()))
-        use = end - start >= p.least_item
+        use = end - start >= max(p.q, p.least_item)
+        self.short: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in np.unique((end - start)[~use & (end - start >= max(1, p.least_item))]).tolist():
+            item = np.flatnonzero(end - start == n)
+            rows = cp[start[item][:, None] + np.arange(n)]
+            h = gram_hashes(rows.ravel(), n)[::n]
+            order = np.argsort(h, kind="stable")
+            self.short[n] = h[order], item[order], rows[order]
         self.used = np.flatnonzero(use)
         self.items = [cp[a:b].copy() for a, b in zip(start[use], end[use])]
         self.shape = np.array([p.budget(len(x)) for x in self.items], np.int64).reshape(-1, 3)
@@ -110,6 +118,32 @@ class Index:
 
     def search(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, item, edits): every contaminated pair once, with the fewest edits of any window."""
+        near = self.near(array)
+        if not self.short or not len(array):
+            return near
+        d, i, edits = map(np.concatenate, zip(near, self.exact(array)))
+        order = np.lexsort((i, d))
+        return d[order], i[order], edits[order]
+
+    def exact(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, item, 0) of the items shorter than a q-gram that stand in a document as whole words."""
+        cp, start, end = normalised(array)
+        edge = np.r_[True, cp == 32, True]
+        found = [np.zeros((0, 2), np.int64)]
+        for n, (hashes, item, rows) in self.short.items():
+            h = gram_hashes(cp, n)
+            at = np.flatnonzero(edge[: len(h)] & edge[n + 1 : n + 1 + len(h)])
+            at = at[at + n <= end[np.searchsorted(start, at, side="right") - 1]]
+            first, last = np.searchsorted(hashes, h[at]), np.searchsorted(hashes, h[at], side="right")
+            post = ragged(last - first, first)
+            at = np.repeat(at, last - first)
+            same = (cp[at[:, None] + np.arange(n)] == rows[post]).all(1)
+            found.append(np.c_[np.searchsorted(start, at[same], side="right") - 1, item[post[same]]])
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int64)
+
+    def near(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """search() for the items that hold a q-gram."""
         nothing = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         if not len(self.grams) or not len(array):
             return nothing

@@ -72,6 +72,14 @@ def test_decontamination_finds_what_brute_force_finds():
     assert all(found[k] <= p.budget(len(normalised_brute(items[k[1]])))[1] for k in found)
 
 
+def test_decontamination_by_short_items():
+    items = ["What is the capital of France?", "Yes, no!", "", "tell me the year", "?!", "4"]
+    index = decontam.Index(items, decontam.Decontam())
+    texts = ["So: what is the capital of france, then?", "what is the capitol of France", "yes no", "eyes no", "yes", None, "Tell me: THE year.", "tell me the yeer", "yes", "no 4 yes no", "14 40"]
+    d, i, edits = index.search(array(texts))
+    assert list(zip(d.tolist(), i.tolist(), edits.tolist())) == [(0, 0, 0), (1, 0, 1), (2, 1, 0), (6, 3, 0), (9, 1, 0), (9, 5, 0)]
+
+
 # ---- 2 ----
 
 PARAGRAPH = "This is the text that we want to keep because it has many of the words that are in all of the running prose, and it is long enough to be called good by the rules that we have set for it here, as it should be. "
