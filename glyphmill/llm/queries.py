@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from glyphmill.llm import bpe, decontam, html, neardup, pii, quality, secrets, shard, tokenbin, toxicity
-from glyphmill.shared import ship
+from glyphmill.shared import local_folder, ship
 
 
 #: The vocabulary of the token queries: ranked byte strings.
@@ -52,8 +52,12 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(shard, first_slot, n_sequences, stride, payload): the documents' token ids in training order, by shard."""
-    return tokenbin.shards(table(spark, sf_dir, "documents"), tokenbin.TokenShards(VOCABULARY))
+    """(shard, first_slot, n_sequences, stride, path, bytes): the documents' token ids in training order, a file for each shard.
+
+    The folder is the same for each run over sf_dir, so that a broken run resumes.
+    """
+    made = tokenbin.shards(table(spark, sf_dir, "documents"), tokenbin.TokenShards(VOCABULARY))
+    return tokenbin.write_shards(made, local_folder(spark, "token-shards", sf_dir)).drop("written")
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -152,29 +152,40 @@ def shards(docs: DataFrame, p: TokenShards) -> DataFrame:
 
 
 def write_shards(made: DataFrame, folder: str) -> DataFrame:
-    """Write each shard to `<folder>/shard-<number>.bin`; (shard, path, bytes, written).
+    """Write each shard to `<folder>/shard-<number>.bin`; (shard, first_slot, n_sequences, stride, path, bytes, written).
 
-    folder is one that all executors can write, as a mounted file system. A file that has its whole length is left alone,
-    so a broken run resumes; files appear under their name only when complete.
+    folder is one that all executors can write, as a mounted file system. A file that holds its payload is left alone,
+    so a broken run resumes; files appear under their name only when complete, and are read again after writing.
     """
+    def holds(path: str, payload: bytes) -> bool:
+        if not os.path.exists(path) or os.path.getsize(path) != len(payload):
+            return False
+        with open(path, "rb") as f:
+            return f.read() == payload
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.makedirs(folder, exist_ok=True)
         for batch in batches:
-            out = []
-            for shard, payload in zip(batch.column("shard").to_pylist(), batch.column("payload").to_pylist()):
+            paths, sizes, written = [], [], []
+            for shard, payload in zip(batch.column("shard").to_pylist(), batch.column("payload")):
+                payload = payload.as_py()
                 path = os.path.join(folder, f"shard-{shard:08d}.bin")
-                fresh = not os.path.exists(path) or os.path.getsize(path) != len(payload)
+                fresh = not holds(path, payload)
                 if fresh:
                     part = f"{path}.{os.getpid()}.part"
                     with open(part, "wb") as f:
                         f.write(payload)
                     os.replace(part, path)
-                out.append((shard, path, len(payload), fresh))
-            columns = list(zip(*out)) if out else [[], [], [], []]
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["shard", "path", "bytes", "written"])
-
-    return made.select("shard", "payload").mapInArrow(run, "shard long, path string, bytes long, written boolean")
+                    if not holds(path, payload):
+                        raise OSError(f"{path} does not hold what was written")
+                paths.append(path)
+                sizes.append(len(payload))
+                written.append(fresh)
+            kept = ["shard", "first_slot", "n_sequences", "stride"]
+            columns = [*(batch.column(c) for c in kept), pa.array(paths, pa.string()), pa.array(sizes, pa.int64()), pa.array(written, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "path", "bytes", "written"])
+
+    return made.mapInArrow(run, "shard long, first_slot long, n_sequences long, stride int, path string, bytes long, written boolean")
 
 
 def read_sequence(folder: str, slot: int, p: TokenShards) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import tempfile
 import uuid
@@ -30,6 +31,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/glyphmill/{name}-{uuid.uuid4().hex}"
 
 
+def local_folder(spark: SparkSession, name: str, of: str) -> str:
+    """A folder in the shared one, the same for each call with name and of, as a path that Python can open."""
+    shared = shared_dir(spark)
+    scheme, mark, path = shared.partition(":")
+    if not mark:
+        path = shared
+    elif scheme != "file":
+        raise ValueError(f"{SETTING} must name a mounted file system to hold {name}: {shared}")
+    return f"/{path.lstrip('/')}/glyphmill/{name}-{hashlib.md5(of.encode()).hexdigest()}"
+
+
 def write_shared(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again.
 

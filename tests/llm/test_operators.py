@@ -7,7 +7,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from glyphmill.llm import bpe, decontam, html, neardup, pii, quality, secrets, shard, tokenbin, toxicity
+from glyphmill.llm import bpe, decontam, html, neardup, pii, quality, queries, secrets, shard, tokenbin, toxicity
 from glyphmill.llm.queries import VOCABULARY
 from glyphmill.shared import ship
 from tests.conftest import SF
@@ -103,6 +103,18 @@ def test_token_shards_hold_every_document(table, tmp_path):
     assert not any(r.written for r in tokenbin.write_shards(made, str(tmp_path)).collect())
 
 
+def test_token_query_writes_and_resumes(spark):
+    made = queries.op7_token_binary(spark, SF)
+    assert made.columns == ["shard", "first_slot", "n_sequences", "stride", "path", "bytes"]
+    rows = made.collect()
+    want = {r.shard: bytes(r.payload) for r in tokenbin.shards(spark.read.parquet(f"{SF}/documents.parquet"), tokenbin.TokenShards(VOCABULARY)).collect()}
+    read = lambda: {r.shard: open(r.path, "rb").read() for r in rows}
+    assert rows and read() == want and all(r.bytes == r.n_sequences * r.stride == len(want[r.shard]) for r in rows)
+    with open(rows[0].path, "r+b") as f:
+        f.write(bytes([want[rows[0].shard][0] ^ 1]))
+    assert queries.op7_token_binary(spark, SF).collect() and read() == want
+
+
 FEW = pytest.mark.xfail(strict=True, reason="with 35 confirmed toxic rows to learn from, 18 of 35 held-out ones are found")
 
 
