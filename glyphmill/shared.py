@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import re
 import tempfile
 import uuid
 import zipfile
@@ -12,15 +13,21 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+#: Arrow batches are bounded by bytes too: 10,000 long texts would exceed what one batch can hold.
+BATCH_BOUNDS = {"spark.sql.execution.arrow.maxBytesPerBatch": 64 << 20}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir.
 
-    Where the session names none (tests on one machine) a temporary folder is made and kept in the session's setting.
+    Where it is unset, one is made for a session that runs on this machine alone; on a cluster it is an error, since a
+    folder of one machine can't be read from another.
     """
     named = spark.conf.get(SETTING, None)
     if not named:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"{SETTING} must name a folder that all executors of {master} can reach")
         named = "file://" + tempfile.mkdtemp(prefix="glyphmill-")
         spark.conf.set(SETTING, named)
     return named.rstrip("/")
@@ -50,17 +57,16 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._shared_path = path
+    return written
 
 
 def drop_shared(df: DataFrame) -> None:
-    """Delete the files of a table made by write_shared that nothing reads any more."""
+    """Delete the files of a table that write_shared returned and that nothing reads any more."""
     spark = df.sparkSession
-    paths = {file.rpartition("/")[0] for file in df.inputFiles()}
-    for path in paths:
-        if "/glyphmill/" in path:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    at = spark._jvm.org.apache.hadoop.fs.Path(df._shared_path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def put_file(spark: SparkSession, name: str, data: bytes) -> str:
@@ -88,6 +94,9 @@ def _write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once for a Spark context; Python workers then import it wherever they run."""
     context = spark.sparkContext
+    for setting, bound in BATCH_BOUNDS.items():
+        if int(re.sub(r"\D", "", spark.conf.get(setting)) or 0) > bound or spark.conf.get(setting).startswith("-"):
+            spark.conf.set(setting, str(bound))
     if getattr(context, "_glyphmill_shipped", False):
         return
     top = Path(__file__).resolve().parent
