@@ -6,19 +6,24 @@ is the sketch of their union, so sketches merge; two sets' registers are equal a
 bands of registers serve as keys of locality-sensitive hashing.
 
 1. One pass over the texts gives each its content key (hash of its words in order), sketch and band keys.
-2. Texts with one content key form one node; nodes that share a band key are in one bucket.
-3. In each bucket the least node is paired with every other. Pairs whose jointly estimated Jaccard index (maximum
-   likelihood from registers that are greater, less and equal, given both cardinalities) is high enough are verified on
-   the exact shingle sets. Verified pairs make components.
+2. Texts with one content key form one node. The least and greatest node of each band key are found by partial
+   aggregation; bands with more than one node are buckets.
+3. In each bucket the least node is paired with every other. A pair's Jaccard index is estimated (maximum likelihood from
+   registers that are greater, less and equal, given both cardinalities) from the sketches alone; the texts of the pairs
+   that are near enough are then moved once, side by side, and verified on the exact shingle sets. Verified pairs make
+   components.
 4. Nodes of one bucket that are still in different components are paired with each other and verified likewise, so that
    no pair of a bucket goes untested unless its nodes are linked already. Components are then final.
 
 Pairs, not whole buckets, move in 3; a bucket of n copies costs n - 1 pairs. Only 4 can be quadratic, in the nodes of a
-bucket that are not linked to its least.
+bucket that are not linked to its least; it works on sketches, and texts move only for the pairs that it leaves. No window
+runs over a band, a component or a hub: hot ones are aggregated partially and joined back, and a hub's pairs are cut into
+runs of `SALT`. Rows are picked by id with a broadcast of at most `SHIPPED` ids, else by a shuffle of both sides.
 
 Cases: null and empty texts, and texts without words, belong to no group. Repeated rows are copies. A null doc_id is
-the last choice to stay; ties in doc_id go by text hash. Texts of under three words are one shingle. Very long texts
-are sketched whole. An empty table gives an empty one. Other columns pass unchanged, whatever their names.
+the last choice to stay; ties in doc_id go by text hash; doc_id may be of any type that can be ordered. Texts of under
+three words are one shingle. Very long texts are sketched whole. An empty table gives an empty one. Other columns pass
+unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,15 +33,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glyphmill.llm.textbuf import SLICE_BYTES, mix64, slices, strings, words
-from glyphmill.shared import write_shared
+from glyphmill.shared import drop_shared, write_shared
 
 BASE_B = 1.001
 RATE = 20.0
 LIMIT = (1 << 16) - 2
+#: Most ids that are broadcast to pick rows, of some 40 bytes each.
+SHIPPED = 1_000_000
+#: Most edges, of two numbers each, that the driver joins up.
+LOCAL_EDGES = 1_000_000
+#: Pairs of one hub that are verified in one run.
+SALT = 2_000
 
 
 @dataclass(frozen=True)
@@ -186,94 +198,166 @@ def sketched(docs: DataFrame, p: NearDup) -> DataFrame:
                     names=["rid", "doc_id", "key", "sketch", "keys"],
                 )
 
-    narrow = docs.select(row_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(run, "rid long, doc_id long, key long, sketch binary, keys array<long>")
+    narrow = docs.select(row_id().alias("rid"), F.col("doc_id"), F.col("text").cast("string").alias("text"))
+    fields = [("rid", T.LongType()), ("doc_id", narrow.schema["doc_id"].dataType), ("key", T.LongType()), ("sketch", T.BinaryType()), ("keys", T.ArrayType(T.LongType()))]
+    return narrow.mapInArrow(run, T.StructType([T.StructField(*f) for f in fields]))
 
 
-def verified(pairs: DataFrame, p: NearDup) -> DataFrame:
-    """(a, b, jaccard) of the pairs (a, b, sketch_a, sketch_b, text_a, text_b) that reach the threshold."""
+def few(ids: DataFrame) -> DataFrame:
+    """The written table ids, marked for broadcast if it has at most SHIPPED rows."""
+    return F.broadcast(ids) if ids.count() <= SHIPPED else ids
+
+
+def estimated(pairs: DataFrame, members: DataFrame, p: NearDup) -> DataFrame:
+    """The pairs (a, b) whose estimated Jaccard index reaches threshold - margin; members: (node, sketch)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            if not whole.num_rows:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            of = lambda c: np.frombuffer(b"".join(whole.column(c).to_pylist()), np.uint16).reshape(whole.num_rows, -1)
+            of = lambda c: np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1)
             one, other = of("sketch_a"), of("sketch_b")
             close = joint_jaccard(one, other, cardinality(one), cardinality(other)) >= p.threshold - p.margin
-            left = whole.filter(pa.array(close))
-            for batch in slices(left, "text_a"):
-                n = batch.num_rows
-                a, a_at, _ = shingles(strings(batch.column("text_a")), p.shingle)
-                b, b_at, _ = shingles(strings(batch.column("text_b")), p.shingle)
-                jaccard = np.empty(n)
-                for i in range(n):
-                    x, y = np.unique(a[a_at[i] : a_at[i + 1]]), np.unique(b[b_at[i] : b_at[i + 1]])
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    jaccard[i] = both / (len(x) + len(y) - both)
-                keep = pa.array(jaccard >= p.threshold)
-                yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(jaccard).filter(keep)], names=["a", "b", "jaccard"])
-
-    return pairs.mapInArrow(run, "a long, b long, jaccard double")
-
-
-def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
-    """(node, root): the least node of each node's connected component, by alternating large and small stars."""
-    two_way = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    current = write_shared(two_way, "stars")
+            yield batch.select(["a", "b"]).filter(pa.array(close))
+
+    left = members.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"))
+    right = members.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, p: NearDup) -> DataFrame:
+    """(a, b, jaccard) of the written pairs (a, b) that reach the threshold; nodes: (node, rid) with a row of each.
+
+    Each text goes from the scan straight to the task of its hub a: the hub first, then the texts paired with it.
+    """
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).alias("runs"))
+    salted = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("runs")).alias("salt"))
+    hubs = salted.select("a", "salt").distinct().select(F.col("a").alias("node"), "a", "salt", F.lit(None).cast("long").alias("b"))
+    leaves = salted.select(F.col("b").alias("node"), "a", "salt", "b")
+    roles = write_shared(hubs.unionByName(leaves).join(nodes.select("node", "rid"), "node").select("rid", "a", "salt", "b"), "roles")
+    texts = docs.select(row_id().alias("rid"), F.col("text").cast("string").alias("text"))
+    moved = texts.join(few(roles), "rid").select("a", "salt", "b", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, done, mine = None, None, None
+        for whole in batches:
+            for batch in slices(whole, "text", SLICE_BYTES):
+                found, at, _ = shingles(strings(batch.column("text")), p.shingle)
+                rows = zip(batch.column("a").to_pylist(), batch.column("salt").to_pylist(), batch.column("b").to_pylist())
+                out: list[tuple[int, int, float]] = []
+                for i, (a, salt, b) in enumerate(rows):
+                    # rows with one id and text may occur more than once
+                    if b is None and hub == (a, salt) or (a, salt, b) == done:
+                        continue
+                    x = np.unique(found[at[i] : at[i + 1]])
+                    if b is None:
+                        hub, mine = (a, salt), x
+                        continue
+                    done = a, salt, b
+                    both = len(np.intersect1d(mine, x, assume_unique=True))
+                    jaccard = both / (len(mine) + len(x) - both)
+                    if jaccard >= p.threshold:
+                        out.append((a, b, jaccard))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out]) for k in range(3)], names=["a", "b", "jaccard"])
+
+    return moved.mapInArrow(run, "a long, b long, jaccard double")
+
+
+def least_labels(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """The least member of the component of each of n numbered nodes, from edges (u, v): hooking and pointer jumping."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[u], label[v])
+        new = label.copy()
+        np.minimum.at(new, label[u], low)
+        np.minimum.at(new, label[v], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def components(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
+    """(u, v): each node of the written edges (a, b) and the least node of its connected component; roots have no row.
+
+    Up to `local` edges are joined up on the driver. More go through alternating large and small stars, whose least
+    neighbours are aggregated partially and joined back, so that no task holds all edges of a hub.
+    """
+    spark = edges.sparkSession
+    if edges.count() <= local:
+        table = edges.select("a", "b").toArrow()
+        ids, at = np.unique(np.r_[table["a"].to_numpy(), table["b"].to_numpy()], return_inverse=True)
+        root = ids[least_labels(at[: table.num_rows], at[table.num_rows :], len(ids))]
+        moved = root != ids
+        return write_shared(spark.createDataFrame(pa.table({"u": ids[moved].astype(np.int64), "v": root[moved].astype(np.int64)})), "stars")
+    current = write_shared(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
     mark = None
     while True:
         both = current.select("u", "v").union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = Window.partitionBy("u")
-        large = both.withColumn("m", F.least("u", F.min("v").over(least))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        w = large.withColumn("m", F.min("v").over(least))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = write_shared(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars")
+        w = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = w.select(F.col("v").alias("u"), F.col("m").alias("v")).union(w.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        current = write_shared(small, "stars")
+        after = write_shared(small, "stars")
+        drop_shared(large)
+        drop_shared(current)
+        current = after
         now = current.agg(F.count("*"), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == mark:
-            return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return current
         mark = now
 
 
+def linked_nodes(docs: DataFrame, base: DataFrame, p: NearDup) -> DataFrame:
+    """(u, v): each node that is linked to others, and the least node of its component; base: the written sketches."""
+    used: list[DataFrame] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        used.append(write_shared(df, name))
+        return used[-1]
+
+    banded = base.select(F.col("key").alias("node"), F.explode("keys").alias("band"))
+    hot = keep(banded.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("band", "least"), "bands")
+    buckets = keep(banded.join(hot, "band").select("band", "node", "least").distinct(), "buckets")
+    wanted = keep(buckets.select("node").distinct(), "wanted")
+    mine = base.withColumnRenamed("key", "node").join(few(wanted), "node", "leftsemi")
+    nodes = keep(mine.groupBy("node").agg(F.min("rid").alias("rid")), "nodes")
+    members = keep(mine.select("node", "rid", "sketch").join(few(nodes), ["node", "rid"], "leftsemi").dropDuplicates(["node"]).select("node", "sketch"), "members")
+    starred = keep(buckets.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    edges = keep(verified(docs, keep(estimated(starred, members, p), "close"), nodes, p), "edges")
+    linked = components(edges)
+    marks = few(linked).withColumnsRenamed({"u": "node", "v": "root"})
+    labelled = buckets.join(marks, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    torn_bands = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
+    torn = keep(labelled.join(torn_bands, "band"), "torn")
+    other = torn.select("band", F.col("node").alias("b"), F.col("root").alias("root_b"))
+    cross = torn.select("band", F.col("node").alias("a"), F.col("root").alias("root_a")).join(other, "band").where("a < b and root_a <> root_b").select("a", "b").distinct()
+    close = keep(estimated(cross.join(starred, ["a", "b"], "leftanti"), members, p), "close")
+    if not close.isEmpty() and not (more := keep(verified(docs, close, nodes, p), "edges")).isEmpty():
+        drop_shared(linked)
+        linked = components(edges.unionByName(more))
+    for df in used:
+        drop_shared(df)
+    return linked
+
+
 def groups(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
-    """(rid, doc_id, node, root) of every document with words that has a copy or near copy.
+    """(rid, doc_id, node, root, kept_rid, kept_doc_id) of every document with words that has a copy or near copy.
 
-    node: equal for texts of the same words; root: equal for one group. Written to the shared folder.
+    node: equal for texts of the same words; root: equal for one group; kept_*: the row of the group that stays. Written to
+    the shared folder.
     """
-    spark = docs.sparkSession
     base = write_shared(sketched(docs, p), "sketches")
-    nodes = base.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("rid"))).alias("least"), F.count("*").alias("copies"))
-    nodes = write_shared(nodes.select(F.col("key").alias("node"), F.col("least.rid").alias("rid"), "copies"), "nodes")
-    mine = base.join(nodes, "rid", "leftsemi").dropDuplicates(["key"])
-    banded = mine.select(F.col("key").alias("node"), F.explode("keys").alias("band"))
-    sized = banded.withColumn("least", F.min("node").over(Window.partitionBy("band"))).withColumn("n", F.count("*").over(Window.partitionBy("band")))
-    buckets = write_shared(sized.where("n > 1").select("band", "node", "least"), "buckets")
-    wanted = buckets.select("node").distinct()
-    texts = docs.select(row_id().alias("rid"), F.col("text").cast("string").alias("text"))
-    marked = mine.select(F.col("key").alias("node"), "rid", "sketch").join(wanted, "node", "leftsemi")
-    members = write_shared(marked.join(texts, "rid").dropDuplicates(["node"]).select("node", "sketch", "text"), "members")
-
-    def tested(pairs: DataFrame) -> DataFrame:
-        left = members.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"), F.col("text").alias("text_a"))
-        right = members.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"), F.col("text").alias("text_b"))
-        return verified(pairs.join(left, "a").join(right, "b"), p)
-
-    starred = write_shared(buckets.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    edges = write_shared(tested(starred), "edges")
-    linked = components(edges, spark)
-    labelled = buckets.join(linked, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    spanning = Window.partitionBy("band")
-    torn = labelled.withColumn("lo", F.min("root").over(spanning)).withColumn("hi", F.max("root").over(spanning)).where("lo <> hi")
-    torn = write_shared(torn.select("band", "node", "root"), "torn")
-    other = torn.select("band", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    cross = torn.select("band", F.col("node").alias("a"), F.col("root").alias("root_a")).join(other, "band").where("a < b and root_a <> root_b").select("a", "b").distinct()
-    cross = cross.join(starred, ["a", "b"], "leftanti")
-    more = write_shared(tested(cross), "edges")
-    if not more.isEmpty():
-        linked = components(edges.unionByName(more), spark)
-    rows = base.join(nodes.select(F.col("node").alias("key"), "copies"), "key").join(linked.withColumnRenamed("node", "key"), "key", "left")
-    # a root is in no pair (node, root) of its own
-    roots = linked.select(F.col("root").alias("key")).distinct().withColumn("is_root", F.lit(True))
-    rows = rows.join(roots, "key", "left").where("copies > 1 or root is not null or is_root")
-    return write_shared(rows.select("rid", "doc_id", F.col("key").alias("node"), F.coalesce("root", "key").alias("root")), "groups")
+    linked = linked_nodes(docs, base, p)
+    rooted = base.select("rid", "doc_id", F.col("key").alias("node")).join(few(linked.withColumnsRenamed({"u": "node", "v": "root"})), "node", "left")
+    rooted = rooted.select("rid", "doc_id", "node", F.coalesce("root", "node").alias("root"))
+    kept = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("rid"))).alias("kept")
+    sizes = rooted.groupBy("root").agg(kept, F.count("*").alias("n")).where("n > 1").select("root", F.col("kept.rid").alias("kept_rid"), F.col("kept.doc_id").alias("kept_doc_id"))
+    out = write_shared(rooted.join(sizes, "root").select("rid", "doc_id", "node", "root", "kept_rid", "kept_doc_id"), "groups")
+    drop_shared(linked)
+    drop_shared(base)
+    return out
 
 
 def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
@@ -281,23 +365,21 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
 
     rows: how many rows of doc_id go; a repeated row of the one that stays is a pair of itself.
     """
-    found = groups(docs, p)
-    order = Window.partitionBy("root").orderBy(F.col("doc_id").isNull(), "doc_id", "rid")
-    ranked = found.withColumn("place", F.row_number().over(order)).withColumn("kept_doc_id", F.first("doc_id").over(order))
-    return ranked.where("place > 1").groupBy("doc_id", "kept_doc_id").agg(F.count("*").alias("rows"))
+    stays = F.max((F.col("rid") == F.col("kept_rid")).cast("long"))
+    return groups(docs, p).groupBy("doc_id", "kept_doc_id").agg((F.count("*") - stays).alias("rows")).where("rows > 0")
 
 
 def drop_near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     """docs with one document of each group: that of the least doc_id."""
     found = groups(docs, p)
-    order = Window.partitionBy("root").orderBy(F.col("doc_id").isNull(), "doc_id", "rid")
-    ranked = found.withColumn("place", F.row_number().over(order))
-    # of repeated rows one stays, if any
-    fate = ranked.groupBy("rid").agg(F.min("place").alias("place"), F.count("*").alias("rows"))
+    # rows with one id and text are alike to the groups: of those that stay, all are set aside and one comes back
+    fate = found.groupBy("rid").agg((F.max("kept_rid") == F.col("rid")).alias("stays"), F.count("*").alias("n"))
+    gone = write_shared(fate.where("not stays or n > 1").select("rid", "stays"), "gone")
+    drop_shared(found)
     names = {c: f"_{i}" for i, c in enumerate(docs.columns)}
     plain = docs.select(row_id().alias("rid"), F.struct(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]).alias("row"))
-    joined = plain.join(fate, "rid", "left").where("place is null or place = 1")
-    single = joined.where("rows is null or rows = 1")
-    repeated = joined.where("rows > 1").withColumn("nth", F.row_number().over(Window.partitionBy("rid").orderBy(F.to_json("row")))).where("nth = 1")
-    both = single.select("row").unionByName(repeated.select("row"))
-    return both.select(*[F.col(f"row.{n}").alias(c) for c, n in names.items()])
+    rows = plain.join(few(gone.select("rid")), "rid", "leftanti").select("row")
+    if not (twice := gone.where("stays").select("rid")).isEmpty():
+        again = plain.join(few(twice), "rid", "leftsemi")
+        rows = rows.unionByName(again.groupBy("rid").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row"))
+    return rows.select(*[F.col(f"row.{n}").alias(c) for c, n in names.items()])
