@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.shared import write_shared
+from glyphmill.shared import free_shuffles, write_shared
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "row_number") -> tuple[DataFrame, int]:
     """(df with a global row number from 0 by the columns of order, nulls first; number of rows).
 
     The sorted rows are written to the shared folder with their place in their range partition; counts for each partition
-    give its first number. No task holds more than one partition. df should be narrow.
+    give its first number. No task holds more than one partition; rows that are equal in all columns of order are spread
+    by a salt, so that they may fill many partitions, and their numbers follow one another in any order.
     """
-    keys = [F.col(c).asc_nulls_first() for c in order]
-    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    local = ranged.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_place"))
-    local = write_shared(local, "numbered")
+    keys = [*[F.col(c).asc_nulls_first() for c in order], F.col("_salt")]
+    salted = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(8192)).cast("int"))
+    ranged = salted.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_salt")
+    local = write_shared(ranged.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_place")), "numbered")
+    del salted, ranged
+    free_shuffles(df.sparkSession)
     counts = sorted((r[0], r[1]) for r in local.groupBy("_part").count().collect())
     first, starts = 0, []
     for part, n in counts:

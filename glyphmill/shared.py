@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import io
 import re
@@ -11,6 +12,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 #: Arrow batches are bounded by bytes too: 10,000 long texts would exceed what one batch can hold.
@@ -38,30 +40,49 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/glyphmill/{name}-{uuid.uuid4().hex}"
 
 
-def local_folder(spark: SparkSession, name: str, of: str) -> str:
-    """A folder in the shared one, the same for each call with name and of, as a path that Python can open."""
-    shared = shared_dir(spark)
-    scheme, mark, path = shared.partition(":")
+def local_path(path: str) -> str:
+    """A path of the shared folder as one that Python can open on every executor; an error if it isn't a mounted file system."""
+    scheme, mark, rest = path.partition(":")
     if not mark:
-        path = shared
+        rest = path
     elif scheme != "file":
-        raise ValueError(f"{SETTING} must name a mounted file system to hold {name}: {shared}")
-    return f"/{path.lstrip('/')}/glyphmill/{name}-{hashlib.md5(of.encode()).hexdigest()}"
+        raise ValueError(f"{SETTING} must name a mounted file system: {path}")
+    return "/" + rest.lstrip("/")
+
+
+def local_folder(spark: SparkSession, name: str, of: str) -> str:
+    """A folder in the shared one, the same for each call with name and of, as a path that Python can open."""
+    return local_path(f"{shared_dir(spark)}/glyphmill/{name}-{hashlib.md5(of.encode()).hexdigest()}")
 
 
-def write_shared(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again.
+def write_shared(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it again; codec: of its Parquet files.
 
     The result depends on the written files alone, so that losing an executor costs no recomputation.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
     written._shared_path = path
     return written
 
 
+def few(df: DataFrame, bound: int) -> DataFrame:
+    """df, marked for broadcast if it has at most so many rows; beyond, a join with it shuffles both sides. df should be narrow."""
+    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the shuffle files of DataFrames that nothing refers to any more deleted now.
+
+    Spark deletes them when the driver's garbage is collected; a driver with a large heap does so rarely, and wide shuffles
+    that are done with would fill the executors' disks.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_shared(df: DataFrame) -> None:
     """Delete the files of a table that write_shared returned and that nothing reads any more."""
     spark = df.sparkSession
