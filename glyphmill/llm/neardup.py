@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphmill.llm.textbuf import SLICE_BYTES, mix64, slices, strings, words
-from glyphmill.shared import drop_shared, write_shared
+from glyphmill.shared import drop_shared, few, write_shared
 
 BASE_B = 1.001
 RATE = 20.0
@@ -203,11 +203,6 @@ def sketched(docs: DataFrame, p: NearDup) -> DataFrame:
     return narrow.mapInArrow(run, T.StructType([T.StructField(*f) for f in fields]))
 
 
-def few(ids: DataFrame) -> DataFrame:
-    """The written table ids, marked for broadcast if it has at most SHIPPED rows."""
-    return F.broadcast(ids) if ids.count() <= SHIPPED else ids
-
-
 def estimated(pairs: DataFrame, members: DataFrame, p: NearDup) -> DataFrame:
     """The pairs (a, b) whose estimated Jaccard index reaches threshold - margin; members: (node, sketch)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +230,7 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, p: NearDup) ->
     leaves = salted.select(F.col("b").alias("node"), "a", "salt", "b")
     roles = write_shared(hubs.unionByName(leaves).join(nodes.select("node", "rid"), "node").select("rid", "a", "salt", "b"), "roles")
     texts = docs.select(row_id().alias("rid"), F.col("text").cast("string").alias("text"))
-    moved = texts.join(few(roles), "rid").select("a", "salt", "b", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    moved = texts.join(few(roles, SHIPPED), "rid").select("a", "salt", "b", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, done, mine = None, None, None
@@ -321,13 +316,13 @@ def linked_nodes(docs: DataFrame, base: DataFrame, p: NearDup) -> DataFrame:
     hot = keep(banded.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("band", "least"), "bands")
     buckets = keep(banded.join(hot, "band").select("band", "node", "least").distinct(), "buckets")
     wanted = keep(buckets.select("node").distinct(), "wanted")
-    mine = base.withColumnRenamed("key", "node").join(few(wanted), "node", "leftsemi")
+    mine = base.withColumnRenamed("key", "node").join(few(wanted, SHIPPED), "node", "leftsemi")
     nodes = keep(mine.groupBy("node").agg(F.min("rid").alias("rid")), "nodes")
-    members = keep(mine.select("node", "rid", "sketch").join(few(nodes), ["node", "rid"], "leftsemi").dropDuplicates(["node"]).select("node", "sketch"), "members")
+    members = keep(mine.select("node", "rid", "sketch").join(few(nodes, SHIPPED), ["node", "rid"], "leftsemi").dropDuplicates(["node"]).select("node", "sketch"), "members")
     starred = keep(buckets.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     edges = keep(verified(docs, keep(estimated(starred, members, p), "close"), nodes, p), "edges")
     linked = components(edges)
-    marks = few(linked).withColumnsRenamed({"u": "node", "v": "root"})
+    marks = few(linked, SHIPPED).withColumnsRenamed({"u": "node", "v": "root"})
     labelled = buckets.join(marks, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
     torn_bands = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
     torn = keep(labelled.join(torn_bands, "band"), "torn")
@@ -350,7 +345,7 @@ def groups(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     """
     base = write_shared(sketched(docs, p), "sketches")
     linked = linked_nodes(docs, base, p)
-    rooted = base.select("rid", "doc_id", F.col("key").alias("node")).join(few(linked.withColumnsRenamed({"u": "node", "v": "root"})), "node", "left")
+    rooted = base.select("rid", "doc_id", F.col("key").alias("node")).join(few(linked, SHIPPED).withColumnsRenamed({"u": "node", "v": "root"}), "node", "left")
     rooted = rooted.select("rid", "doc_id", "node", F.coalesce("root", "node").alias("root"))
     kept = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("rid"))).alias("kept")
     sizes = rooted.groupBy("root").agg(kept, F.count("*").alias("n")).where("n > 1").select("root", F.col("kept.rid").alias("kept_rid"), F.col("kept.doc_id").alias("kept_doc_id"))
@@ -378,8 +373,8 @@ def drop_near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     drop_shared(found)
     names = {c: f"_{i}" for i, c in enumerate(docs.columns)}
     plain = docs.select(row_id().alias("rid"), F.struct(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]).alias("row"))
-    rows = plain.join(few(gone.select("rid")), "rid", "leftanti").select("row")
+    rows = plain.join(few(gone.select("rid"), SHIPPED), "rid", "leftanti").select("row")
     if not (twice := gone.where("stays").select("rid")).isEmpty():
-        again = plain.join(few(twice), "rid", "leftsemi")
+        again = plain.join(few(twice, SHIPPED), "rid", "leftsemi")
         rows = rows.unionByName(again.groupBy("rid").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row"))
     return rows.select(*[F.col(f"row.{n}").alias(c) for c, n in names.items()])
