@@ -11,9 +11,10 @@ Items shorter than a q-gram are searched for as whole words without edits.
 The items' q-grams are broadcast in blocks of at most `block_chars` characters: a larger benchmark takes more passes
 over the documents, each with a bounded broadcast, and no shuffle of the documents ever.
 
-Cases: null and empty texts are never contaminated; null texts and items of under `least_item`
-normalised characters, by default those without any word, are not searched for; items with one text are each reported; repeated documents give repeated rows; empty tables give an
-empty result (or all documents, when filtering); very long texts are searched whole; other columns pass unchanged.
+Cases: null and empty texts are never contaminated; null texts and items of under `least_item` normalised characters, by
+default those without any word, are not searched for; items with one text are each reported; repeated documents give
+repeated rows; empty tables give an empty result (or all documents, when filtering); very long texts are searched whole;
+other columns pass unchanged.
 """
 
 from __future__ import annotations
@@ -113,8 +114,10 @@ class Index:
         self.grams = flat[first]
         self.at = np.r_[np.flatnonzero(first), len(flat)]
         self.bits = max(22, math.ceil(math.log2(len(self.grams) * 64)))
-        self.map = np.zeros(1 << self.bits, bool)
-        self.map[self.grams >> np.uint64(64 - self.bits)] = True
+        # a bit for each prefix: 32 MB for a block of 4 million characters
+        self.map = np.zeros(1 << self.bits - 3, np.uint8)
+        slot = self.grams >> np.uint64(64 - self.bits)
+        np.bitwise_or.at(self.map, slot >> np.uint64(3), np.uint8(1) << (slot & np.uint64(7)).astype(np.uint8))
 
     def search(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, item, edits): every contaminated pair once, with the fewest edits of any window."""
@@ -150,7 +153,8 @@ class Index:
         q = self.p.q
         cp, start, end = normalised(array)
         h = gram_hashes(cp, q)
-        hit = np.flatnonzero(self.map[h >> np.uint64(64 - self.bits)])
+        prefix = h >> np.uint64(64 - self.bits)
+        hit = np.flatnonzero(self.map[prefix >> np.uint64(3)] >> (prefix & np.uint64(7)).astype(np.uint8) & np.uint8(1))
         if not len(hit):
             return nothing
         slot = np.searchsorted(self.grams, h[hit])
