@@ -4,7 +4,8 @@ Confirmed toxic documents are the positives; other documents are unlabelled, tox
 on the presence of words and word beginnings is trained in numpy on the risk
     prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))
 with the sigmoid loss; where the second part falls below zero its gradient is reversed, so the estimate can't be fitted
-below zero. prior is the share of toxic documents; where it is None it is the share among the rows with a label.
+below zero. prior is the share of toxic documents; where it is None it is the share among the rows with a label, however
+small it is.
 
 Features are words and beginnings of words (`PREFIXES` characters, for inflected and compound forms) that stand in at least
 `least_count` positives, in `least_z` standard errors more of them than their share of all documents foretells, and of whose
@@ -14,7 +15,9 @@ those of the least hashes); the unlabelled ones are of all documents, labelled o
 every document whole. Words are matched by 64-bit hash.
 
 Cases: null and empty texts are not toxic; null labels are no labels; repeated labels count once; without any positive
-nothing is toxic; repeated documents are scored alike; very long texts are read whole; empty tables give an empty one.
+nothing is toxic; repeated documents are scored alike; very long texts are read whole; empty tables give an empty one; a
+score of 0 is not toxic; ties in the samples' hashes go by doc_id, which may be of any type that can be ordered; other
+columns don't matter.
 """
 
 from __future__ import annotations
@@ -29,9 +32,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphmill.llm.textbuf import slices, span_sums, strings, summed_spans, words
-
+from glyphmill.shared import few
 
 PREFIXES = (4, 5, 6)
+#: Most ids of positives that are broadcast.
+SHIPPED = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -86,6 +91,21 @@ def present(array: pa.Array, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return both // len(hashes), both % len(hashes)
 
 
+def risk_and_gradient(z: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """(risk of calling positives negative, corrected risk of calling negatives positive, gradient by the logits z).
+
+    Both for the sigmoid loss. Where the second is below zero its gradient is reversed, and the first has none.
+    """
+    s = 1 / (1 + np.exp(-z))
+    n_pos, n_un = positive.sum(), (~positive).sum()
+    first = prior * (1 - s[positive]).mean()
+    second = s[~positive].mean() - prior * s[positive].mean()
+    slope = s * (1 - s)
+    plus = np.where(positive, -slope * prior / n_pos, 0)
+    minus = np.where(positive, -slope * prior / n_pos, slope / n_un)
+    return first, second, plus + minus if second >= 0 else -minus
+
+
 def fit(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float, p: Toxicity) -> tuple[np.ndarray, float]:
     """(weights, bias) by gradient steps (Adam) on the corrected risk; rows: the features of each document."""
     sizes = np.fromiter(map(len, rows), np.int64, len(rows))
@@ -93,15 +113,9 @@ def fit(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: fl
     column = np.concatenate(rows).astype(np.int64) if len(row) else np.zeros(0, np.int64)
     w, b = np.zeros(n_features), 0.0
     m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
-    n_pos, n_un = positive.sum(), (~positive).sum()
     for step in range(1, p.steps + 1):
         z = np.clip(b + np.bincount(row, w[column], len(rows)), -30, 30)
-        s = 1 / (1 + np.exp(-z))
-        slope = s * (1 - s)  # of the loss sigmoid(z) of calling a document negative when it is not; + calls have 1 - s
-        plus = np.where(positive, -slope * prior / n_pos, 0)
-        minus = np.where(positive, -slope * prior / n_pos, slope / n_un)
-        negative_risk = s[~positive].mean() - prior * s[positive].mean()
-        g_z = plus + minus if negative_risk >= 0 else -minus
+        _, _, g_z = risk_and_gradient(z, positive, prior)
         g = np.r_[np.bincount(column, g_z[row], n_features) + p.decay * w / len(rows), g_z.sum()]
         m = 0.9 * m + 0.1 * g
         v = 0.99 * v + 0.01 * g * g
@@ -116,13 +130,14 @@ def train(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> Model
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    # ids alone are broadcast, so that no text is shuffled
-    marked = narrow.join(F.broadcast(known.where("toxic = 1").select("doc_id", F.lit(True).alias("positive"))), "doc_id", "left").withColumn("positive", F.coalesce("positive", F.lit(False)))
+    # up to SHIPPED ids are broadcast, so that no text is shuffled
+    confirmed = known.where("toxic = 1").select("doc_id", F.lit(True).alias("positive"))
+    marked = narrow.join(few(confirmed, SHIPPED), "doc_id", "left").withColumn("positive", F.coalesce("positive", F.lit(False)))
     n_pos, n_all = marked.agg(F.count_if("positive"), F.count("*")).first()
     if not n_pos:
         return None
     share = known.agg(F.avg("toxic")).first()[0]
-    prior = p.prior if p.prior is not None else min(0.9, max(1e-3, float(share)))
+    prior = p.prior if p.prior is not None else min(float(share), 1 - 1e-6)
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -149,7 +164,8 @@ def train(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> Model
     others = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(*hashed).limit(p.unlabelled).select("doc_id", F.lit(False).alias("positive"))
     picked = chosen.unionByName(others).collect()
     # bounded by the two sample sizes
-    sample = narrow.join(F.broadcast(spark.createDataFrame(picked, "doc_id long, positive boolean")), "doc_id")
+    kind = narrow.schema["doc_id"].dataType
+    sample = narrow.join(F.broadcast(spark.createDataFrame(picked, T.StructType([T.StructField("doc_id", kind), T.StructField("positive", T.BooleanType())]))), "doc_id")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -159,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> Model
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(feature.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("positive"), lists], names=["doc_id", "positive", "features"])
 
-    rows = sample.mapInArrow(featured, "doc_id long, positive boolean, features array<int>").toArrow().sort_by("doc_id")
+    rows = sample.mapInArrow(featured, f"doc_id {kind.simpleString()}, positive boolean, features array<int>").toArrow().sort_by("doc_id")
     positive = np.array(rows["positive"].to_pylist(), bool)
     features = [np.array(x, np.int64) for x in rows["features"].to_pylist()]
     if not positive.any() or positive.all():
