@@ -16,7 +16,8 @@ letter or digit of neither case. Entropy can't tell words from keys in a few let
 runs in the shape of words with a number (`shapes`), are reported after key words alone.
 
 Cases: null and empty texts have no secrets; every secret of a text is a row, in repeated rows too; very long texts and
-candidates are scanned whole; an empty table gives an empty one; other columns don't matter.
+candidates are scanned whole, in linear time; where candidates overlap, values after key words go before runs with marks,
+these before other runs; an empty table gives an empty one; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -69,6 +70,7 @@ STEMS = (b"pass", b"pwd", b"secret", b"token", b"credential", b"key")
 #: What follows a value rather than ends it: sentence marks, closing brackets, repeated marks.
 TAIL = re.compile(rb"(?:[.,;:)\]}]|([!?*#%$&~^])\1+)+$")
 MARKS = b"!#$%^&*~"
+RISE, TWICE, LOWER, UPPER = map(re.compile, ("[a-z][A-Z]", "[A-Z]{2}", "[a-z]", "[A-Z]"))
 
 
 def entropies(text: bytes, window: int) -> list[float]:
@@ -106,7 +108,12 @@ def kind_of(text: bytes) -> str:
         return "upper"
     if digit:
         return "mixed"
-    return "letters" if re.search(r"[a-z][A-Z].*[a-z][A-Z]|[A-Z]{2}.*[a-z].*[A-Z]", s) else "plain"
+    # two capitals after small letters, or two capitals together, then a small letter, then a capital
+    if len(RISE.findall(s)) > 1:
+        return "letters"
+    twice = TWICE.search(s)
+    small = LOWER.search(s, twice.end()) if twice else None
+    return "letters" if small and UPPER.search(s, small.end()) else "plain"
 
 
 def find(array: pa.Array, p: Secrets) -> list[tuple[int, int, int, str, float]]:
@@ -184,11 +191,11 @@ def find(array: pa.Array, p: Secrets) -> list[tuple[int, int, int, str, float]]:
     for text, a, b in zip((np.searchsorted(at, first, side="right") - 1).tolist(), first.tolist(), last.tolist()):
         take(text, a, b, False)
     out = []
-    length = lambda a, b: int(((data[a:b] & 0xC0) != 0x80).sum())
     for text in sorted(found):
+        # characters before each byte of the text
+        before = np.r_[0, np.cumsum((data[at[text] : at[text + 1]] & 0xC0) != 0x80)]
         for a, b, kind, most in sorted(found[text]):
-            start = length(at[text], a)
-            out.append((text, start, start + length(a, b), kind, most))
+            out.append((text, int(before[a - at[text]]), int(before[b - at[text]]), kind, most))
     return out
 
 
