@@ -13,7 +13,8 @@ before it. A near-good block is good unless both decided neighbours are bad. A p
 that stand at most heading_distance characters before a good block are kept with it.
 
 Cases: a null or empty page gives an empty text; tags that never close, bare '<' and unknown entities are read as
-browsers do, near enough; very long pages are read whole; repeated pages are extracted alike; an empty table gives an
+browsers do, near enough; very long and malformed pages are read whole, in linear time; a hidden element ends with its own
+end tag, not with one of an element inside it; of equally near neighbours both count; repeated pages are extracted alike; an empty table gives an
 empty one; other columns don't matter.
 """
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glyphmill.llm.textbuf import SLICE_BYTES, slices
+
 STOP = frozenset(
     """a about after all also an and any are as at be because been but by can could did do for from had has have he her here his
     how i if in into is it its just like more most my no not of on one or other our out over she so some such than that the
@@ -46,9 +50,11 @@ BLOCK = frozenset("address article aside blockquote body br caption center col c
 SILENT = frozenset("script style noscript template head svg math iframe object canvas audio video button".split())
 FURNITURE = frozenset("nav footer aside select menu form".split())
 HEADING = re.compile(r"h[1-6]$")
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>|[^<]+|<", re.S)
+NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+PLAIN = re.compile("[^>\"']*")
 RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe")}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
 
@@ -71,16 +77,49 @@ class Block:
     kind: str = ""
 
 
+class Tags:
+    """Where the tags of a page end, in time linear in the page however it is malformed."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+        #: Places outside quotes from which no '>' outside quotes follows.
+        self.dead: set[int] = set()
+
+    def end(self, at: int) -> int:
+        """The '>' that ends the tag whose name ends at `at`: the next one outside quotes, else the next one; -1 if none."""
+        page, start, seen = self.page, at, []
+        if at > self.last[">"]:
+            return -1
+        while at < len(page):
+            at = PLAIN.match(page, at).end()
+            if at == len(page):
+                break
+            c = page[at]
+            if c == ">":
+                return at
+            # a quote without a partner is a character like others
+            at = at + 1 if at >= self.last[c] else page.index(c, at + 1) + 1
+            if at in self.dead:
+                break
+            seen.append(at)
+        self.dead.update(seen)
+        return page.find(">", start)
+
+
 def blocks(page: str) -> list[Block]:
     """The non-empty blocks of a page in order, white space collapsed."""
     out: list[Block] = []
     parts: list[str] = []
     links = 0
     in_link = 0
+    #: Open elements that hide their content, and elements of the same names inside them.
     hidden: list[str] = []
     furniture: list[str] = []
+    within: Counter = Counter()
     tag_now = "body"
     place, n = 0, len(page)
+    tags = Tags(page)
 
     def flush() -> None:
         nonlocal links
@@ -91,62 +130,92 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
         links = 0
 
-    while place < n:
-        m = TOKEN.match(page, place)
-        place = m.end()
-        name = m[2]
-        if name is None:
-            piece = m[0]
-            if piece[:2] in ("<!", "<?") and len(piece) > 1:
-                if piece.startswith("<![CDATA["):
-                    piece = piece[9:].removesuffix("]]>")
-                else:
-                    continue
-            if hidden:
-                continue
+    def say(piece: str) -> None:
+        nonlocal links
+        if not hidden:
             piece = entities.unescape(piece) if "&" in piece else piece
             parts.append(piece)
             if in_link:
                 links += len(" ".join(piece.split()))
+
+    def close(open_: list[str], mark: str, name: str) -> None:
+        while (gone := open_.pop()) != name:
+            within[mark, gone] -= 1
+        within[mark, name] -= 1
+
+    def after(mark: str, start: int) -> tuple[int, int]:
+        """(where the mark stands, the place behind it); the page's end if it doesn't."""
+        at = page.find(mark, start)
+        return (n, n) if at < 0 else (at, at + len(mark))
+
+    while place < n:
+        bare = page.find("<", place)
+        if bare != place:
+            bare = n if bare < 0 else bare
+            say(page[place:bare])
+            place = bare
+            continue
+        if page.startswith("<!--", place):
+            place = after("-->", place + 4)[1]
+            continue
+        if page.startswith("<![CDATA[", place):
+            stop, behind = after("]]>", place + 9)
+            say(page[place + 9 : stop])
+            place = behind
+            continue
+        if page[place + 1 : place + 2] in ("!", "?"):
+            place = after(">", place)[1]
             continue
-        name = name.lower()
+        m = NAME.match(page, place)
+        stop = tags.end(m.end()) if m else -1
+        if stop < 0:
+            say("<")
+            place += 1
+            continue
+        name, attributes = m[2].lower(), page[m.end() : stop]
+        place = stop + 1
         if m[1]:
-            if name in hidden:
-                while hidden.pop() != name:
-                    pass
+            if within["hidden", name]:
+                close(hidden, "hidden", name)
             elif hidden:
                 continue
             if name in BLOCK:
                 flush()
                 tag_now = "body"
-            if name in furniture:
-                while furniture.pop() != name:
-                    pass
+            if within["furniture", name]:
+                close(furniture, "furniture", name)
             elif name == "a":
                 in_link = 0
             continue
-        if hidden and name not in ("body",):
+        empty = attributes.endswith("/") or name in VOID
+        if hidden and name != "body":
+            if within["hidden", name] and not empty:
+                hidden.append(name)
+                within["hidden", name] += 1
             continue
         if name == "body":
+            for gone in hidden:
+                within["hidden", gone] -= 1
             hidden.clear()
         if name in BLOCK:
             flush()
             tag_now = name
-        if name in SILENT:
-            if name in RAW_END:
-                end = RAW_END[name].search(page, place)
-                place = end.end() if end else n
-            elif not m[4]:
-                hidden.append(name)
-        elif name == "title":
+        hides = name in SILENT and not empty
+        if name in RAW_END and (name in SILENT or name == "title"):
             end = RAW_END[name].search(page, place)
             place = end.end() if end else n
-        elif name in FURNITURE:
+            continue
+        if name in FURNITURE:
             furniture.append(name)
+            within["furniture", name] += 1
         elif name == "a":
             in_link = 1
-        elif name not in VOID and ("display:none" in (style := m[3].replace(" ", "").lower()) or re.search(r"(?:^|\s)hidden(?:\s|=|$)", m[3].lower())) and style:
+        elif not empty and attributes:
+            small = attributes.lower()
+            hides = hides or "display:none" in small.replace(" ", "") or bool(HIDDEN.search(small))
+        if hides:
             hidden.append(name)
+            within["hidden", name] += 1
     flush()
     return out
 
@@ -223,9 +292,10 @@ def extract_pages(pages: DataFrame, r: Rules = Rules(), page_id: str = "page_id"
     schema = T.StructType([narrow.schema["page_id"], T.StructField("text", T.StringType()), T.StructField("n_blocks", T.LongType()), T.StructField("n_kept", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [extract(x, r) for x in batch.column("html").to_pylist()]
-            columns = [pa.array([f[i] for f in found], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), *columns], names=schema.names)
+        for whole in batches:
+            for batch in slices(whole, "html", 16 * SLICE_BYTES):
+                found = [extract(x, r) for x in batch.column("html").to_pylist()]
+                columns = [pa.array([f[i] for f in found], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column("page_id"), *columns], names=schema.names)
 
     return narrow.mapInArrow(run, schema)
