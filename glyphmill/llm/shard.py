@@ -1,7 +1,8 @@
 """Sharding by a Feistel permutation with cycle walking over global row numbers.
 
-Rows are numbered 0..n-1 in the order of their key (doc_id, then a hash of the row's text): counts for each partition of
-a range partitioning give its first number, so no task sees the whole table. A keyed Feistel network over the least
+Rows are numbered 0..n-1 in the order of their key (doc_id, then a hash of the row's text): they are range-partitioned and
+written once, and counts for each partition give its first number, so no task sees the whole table, and rows that are alike
+are spread over partitions like others. A keyed Feistel network over the least
 rectangle a*b >= n permutes the numbers; a value outside 0..n-1 is sent through again until it falls inside (cycle
 walking), which keeps the map a permutation of 0..n-1. position = permuted number; shard and slot follow from position
 alone, so any row's place can be computed from its number, the key and n, and any place's row by the inverse.
@@ -16,10 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.shared import write_shared
+from glyphmill.operators.ordering import numbered
 
 ROUNDS = 4
 #: The round function works in 31 bits, so that SQL engines with 64-bit integers can repeat it exactly.
@@ -107,27 +108,6 @@ def place(position, n: int, shards: int):
     return shard, position - first
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "row_number") -> tuple[DataFrame, int]:
-    """(df with a global row number by the columns of order, nulls first; number of rows).
-
-    The sorted rows are written to the shared folder with their place in their range partition; counts for each partition
-    give its first number. No task holds more than one partition. df should be narrow.
-    """
-    keys = [F.col(c).asc_nulls_first() for c in order]
-    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    local = ranged.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_place"))
-    local = write_shared(local, "numbered")
-    counts = sorted((r[0], r[1]) for r in local.groupBy("_part").count().collect())
-    first, starts = 0, []
-    for part, n in counts:
-        starts.append((part, first))
-        first += n
-    # one row for each partition
-    offsets = df.sparkSession.createDataFrame(starts, "_part int, _first long")
-    joined = local.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_first") + F.col("_place"))
-    return joined.drop("_part", "_place", "_first"), first
-
-
 def with_positions(df: DataFrame, n: int, p: Shards, number: str = "row_number") -> DataFrame:
     """df with position, shard and slot computed from its row number."""
     @F.pandas_udf("position long, shard long, slot long")
@@ -140,20 +120,12 @@ def with_positions(df: DataFrame, n: int, p: Shards, number: str = "row_number")
 
 
 def assign(docs: DataFrame, p: Shards = Shards(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with NEW columns: every row's number, position, shard and slot.
-
-    Numbers come from the keys and a row hash alone; the rows themselves are shuffled once, by that hash, to meet them.
-    """
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in NEW])
-    hashed = F.xxhash64(F.col(key), F.col(text))
-    rows, n = numbered(docs.select(F.col(key).alias("k"), hashed.alias("h")), ["k", "h"])
-    placed = with_positions(rows.select("h", "row_number"), n, p)
-    # rows with one hash are alike: the first takes the first of their numbers
-    sets = placed.groupBy("h").agg(F.sort_array(F.collect_list(F.struct(*NEW))).alias("at"))
-    wide = docs.select(hashed.alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    wide = wide.withColumn("nth", F.row_number().over(Window.partitionBy("h").orderBy("h")))
-    joined = wide.join(sets, "h").select("row", F.element_at("at", F.col("nth")).alias("at"))
-    return joined.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], *[f"at.{c}" for c in NEW])
+    """docs with NEW columns: every row's number, position, shard and slot. The rows are moved once, to be numbered."""
+    names = [c for c in docs.columns if c not in NEW]
+    row = F.struct(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)])
+    rows, n = numbered(docs.select(F.col(key).alias("k"), F.xxhash64(F.col(key), F.col(text)).alias("h"), row.alias("row")), ["k", "h"])
+    placed = with_positions(rows.select("row", "row_number"), n, p)
+    return placed.select(*[F.col(f"row._{i}").alias(c) for i, c in enumerate(names)], *NEW)
 
 
 def shuffled(docs: DataFrame, p: Shards = Shards(), key: str = "doc_id", text: str = "text") -> DataFrame:
