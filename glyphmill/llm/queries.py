@@ -56,8 +56,8 @@ def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The folder is the same for each run over sf_dir, so that a broken run resumes.
     """
-    made = tokenbin.shards(table(spark, sf_dir, "documents"), tokenbin.TokenShards(VOCABULARY))
-    return tokenbin.write_shards(made, local_folder(spark, "token-shards", sf_dir)).drop("written")
+    docs = table(spark, sf_dir, "documents")
+    return tokenbin.materialise(docs, tokenbin.TokenShards(VOCABULARY), local_folder(spark, "token-shards", sf_dir)).drop("written")
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

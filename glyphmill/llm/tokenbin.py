@@ -6,34 +6,45 @@ its global slot. Slots are cut into shards of `per_shard` sequences. A shard is
 slot s starts at (s - first slot) * length * bytes_per_id, so reading in training order is reading in file order, and
 a reader resumes at any slot by seeking. The slot of any sequence, and the sequence of any slot, follow from n and key.
 
-1. Documents are range-partitioned by key and sorted, tokenised, and written with their place in the partition.
-2. Sequence counts for each partition give its first number.
-3. Sequences are range-partitioned by slot, whole shards together, sorted, and joined into shards.
+1. Documents are tokenised where they are read; their ids are written once, with their part of the table and place in it.
+2. Keys and sequence counts alone are range-partitioned and sorted; counts for each partition give its first number. The
+   numbers go back to the parts as one small file for each, which the task that reads the part opens. Texts and ids are
+   never shuffled to be numbered.
+3. In `rounds` rounds over successive slots, sequences are range-partitioned by slot, whole shards together, sorted, and
+   joined into shards; the shuffle of a round is freed before the next, which bounds what they take beside the shards.
+
+The shared folder must be one that Python can open on every executor (a mounted file system), here and in write_shards.
 
 Cases: null and empty texts have no sequence; rows with one key and text are interchangeable; null keys come first; very
-long texts give many sequences; an empty table gives no shard; other columns don't matter.
+long texts give many sequences; an empty table gives no shard; other columns don't matter; ids that don't fit bytes_per_id
+are an error.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from glyphmill.llm.bpe import Bpe, build, codec
+from glyphmill.llm.bpe import Bpe, build, codec, read_ranks
 from glyphmill.llm.shard import permute
 from glyphmill.llm.textbuf import ragged, slices, strings
-from glyphmill.shared import write_shared
+from glyphmill.shared import drop_shared, free_shuffles, local_path, shared_path, write_shared
 
 
 @dataclass(frozen=True)
 class TokenShards:
-    """end, pad: ids outside the ranked vocabulary or in it. bytes_per_id: 2 or 4, little-endian."""
+    """end, pad: ids outside the ranked vocabulary or in it. bytes_per_id: 2 or 4, little-endian. rounds: see above."""
 
     vocabulary: str
     length: int = 512
@@ -42,6 +53,7 @@ class TokenShards:
     end: int = 50256
     pad: int = 50256
     bytes_per_id: int = 2
+    rounds: int = 6
 
     @property
     def dtype(self) -> np.dtype:
@@ -53,13 +65,14 @@ class TokenShards:
 
 
 def tokenised(docs: DataFrame, p: TokenShards) -> DataFrame:
-    """(part, first, n_sequences, ids) of each document with ids; first: sequences before it in its partition."""
+    """(part, place, k, h, n_sequences, ids) of each document with ids; k: doc_id, h: text hash."""
     spark = docs.sparkSession
+    most = max(len(read_ranks(p.vocabulary)) - 1, p.end, p.pad)
+    if most >= 1 << 8 * p.bytes_per_id:
+        raise ValueError(f"id {most} does not fit {p.bytes_per_id} bytes")
     name = build(spark, Bpe(p.vocabulary), [])
     narrow = docs.select(F.col("doc_id").alias("k"), F.col("text").cast("string").alias("text")).where("text <> ''")
-    keys = [F.col("k").asc_nulls_first(), F.col("h")]
-    ranged = narrow.withColumn("h", F.xxhash64("text")).repartitionByRange(*keys).sortWithinPartitions(*keys)
-    placed = ranged.select(F.spark_partition_id().alias("part"), "text")
+    placed = narrow.select("k", F.xxhash64("text").alias("h"), F.spark_partition_id().alias("part"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(name)
@@ -73,54 +86,87 @@ def tokenised(docs: DataFrame, p: TokenShards) -> DataFrame:
                 starts = np.cumsum(size) - size
                 out[ragged(n, starts)] = ids
                 out[starts + n] = p.end
-                offsets = np.r_[0, np.cumsum(size * p.bytes_per_id)].astype(np.int32)
-                packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
-                first = before + np.cumsum(pieces) - pieces
-                before += int(pieces.sum())
-                yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(first), pa.array(pieces), packed], names=["part", "first", "n_sequences", "ids"])
+                offsets = np.r_[0, np.cumsum(size * p.bytes_per_id)]
+                if offsets[-1] >= 1 << 31:
+                    raise ValueError("one document has 2 GB of ids or more")
+                packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
+                place = np.arange(before, before + len(n))
+                before += len(n)
+                yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(place), batch.column("k"), batch.column("h"), pa.array(pieces), packed], names=["part", "place", "k", "h", "n_sequences", "ids"])
+
+    fields = [("part", T.IntegerType()), ("place", T.LongType()), ("k", narrow.schema["k"].dataType), ("h", T.LongType()), ("n_sequences", T.LongType()), ("ids", T.BinaryType())]
+    return placed.mapInArrow(run, T.StructType([T.StructField(*f) for f in fields]))
 
-    return placed.mapInArrow(run, "part int, first long, n_sequences long, ids binary")
+
+def first_numbers(held: DataFrame) -> tuple[str, int]:
+    """(folder with a Parquet file set `part=<part>` of (place, first) for each part of held, number of sequences).
+
+    first: the number of a document's first sequence, in the order (k, h). Rows alike in both are spread by their place.
+    """
+    spark = held.sparkSession
+    keys = [F.col("k").asc_nulls_first(), F.col("h"), F.col("place"), F.col("part")]
+    ranged = held.select("k", "h", "place", "part", "n_sequences").repartitionByRange(*keys).sortWithinPartitions(*keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = 0
+        for batch in batches:
+            n = batch.column("n_sequences").to_numpy()
+            first = before + np.cumsum(n) - n
+            before += int(n.sum())
+            yield pa.RecordBatch.from_arrays([batch.column("range"), batch.column("part"), batch.column("place"), pa.array(first, pa.int64()), pa.array(n, pa.int64())], names=["range", "part", "place", "first", "n"])
+
+    local = write_shared(ranged.select(F.spark_partition_id().alias("range"), "part", "place", "n_sequences").mapInArrow(run, "range int, part int, place long, first long, n long"), "numbers")
+    total, starts = 0, []
+    for k, size in sorted((r[0], r[1]) for r in local.groupBy("range").agg(F.sum("n")).collect()):
+        starts.append((k, total))
+        total += size
+    # one row for each range
+    offsets = spark.createDataFrame(starts, "range int, base long")
+    folder = shared_path(spark, "first")
+    numbers = local.join(F.broadcast(offsets), "range").select("part", "place", (F.col("base") + F.col("first")).alias("first"))
+    numbers.repartition("part").write.partitionBy("part").parquet(folder)
+    drop_shared(local)
+    return folder, total
 
 
 def sequences(docs: DataFrame, p: TokenShards) -> tuple[DataFrame, int]:
     """((slot, ids) of every sequence, how many there are)."""
-    spark = docs.sparkSession
-    held = write_shared(tokenised(docs, p), "tokens")
-    counts = sorted((r[0], r[1]) for r in held.groupBy("part").agg(F.sum("n_sequences")).collect())
-    n, starts = 0, {}
-    for part, size in counts:
-        starts[part] = n
-        n += size
-    # one number for each partition
-    shared = spark.sparkContext.broadcast(starts)
+    held = write_shared(tokenised(docs, p), "tokens", "zstd")
+    shared, n = first_numbers(held)
+    folder = local_path(shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            part, first, pieces = (batch.column(c).to_numpy() for c in ("part", "first", "n_sequences"))
-            base = np.array([shared.value[x] for x in part.tolist()], np.int64) + first
-            number = ragged(pieces, base)
-            slot = permute(number, n, p.key)
+            part, place, pieces = (batch.column(c).to_numpy() for c in ("part", "place", "n_sequences"))
+            base = np.empty(len(part), np.int64)
+            for k in np.unique(part).tolist():
+                if k not in known:
+                    read = pq.read_table(f"{folder}/part={k}", columns=["place", "first"], partitioning=None)
+                    known = {k: read["first"].to_numpy()[np.argsort(read["place"].to_numpy())]}
+                base[part == k] = known[k][place[part == k]]
             column = batch.column("ids")
             _, offsets, data = column.buffers()
-            at = int(np.frombuffer(offsets, np.int32)[column.offset])
-            stop = int(np.frombuffer(offsets, np.int32)[column.offset + len(column)])
+            at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+            number = ragged(pieces, base)
+            slot = permute(number, n, p.key)
             ends = (np.arange(len(number) + 1) * p.stride).astype(np.int32)
-            cut = pa.Array.from_buffers(pa.binary(), len(number), [None, pa.py_buffer(ends), data.slice(at, stop - at)])
+            cut = pa.Array.from_buffers(pa.binary(), len(number), [None, pa.py_buffer(ends), data.slice(int(at[0]), int(at[-1] - at[0]))])
             yield pa.RecordBatch.from_arrays([pa.array(slot), cut], names=["slot", "ids"])
 
-    return held.select("part", "first", "n_sequences", "ids").mapInArrow(run, "slot long, ids binary"), n
+    return held.select("part", "place", "n_sequences", "ids").mapInArrow(run, "slot long, ids binary"), n
 
 
-def shards(docs: DataFrame, p: TokenShards) -> DataFrame:
-    """(shard, first_slot, n_sequences, stride, payload): every shard as the bytes of its file."""
-    rows, n = sequences(docs, p)
+def shards_of(rows: DataFrame, n: int, p: TokenShards, first: int, last: int) -> DataFrame:
+    """(shard, first_slot, n_sequences, stride, payload) of the shards first..last-1 from the sequences of all slots."""
     per = p.per_shard
-    ranged = rows.withColumn("shard", F.floor(F.col("slot") / per).cast("long"))
-    total = -(-n // per)
-    wanted = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ranged = ranged.repartitionByRange(max(1, min(int(wanted), total)), "shard").sortWithinPartitions("slot")
+    ranged = rows.withColumn("shard", F.floor(F.col("slot") / per).cast("long")).where((F.col("shard") >= first) & (F.col("shard") < last))
+    wanted = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    # shards are filled alike, so ranges need no sample
+    tasks = max(1, min(int(wanted), last - first))
+    ranged = ranged.repartitionById(tasks, ((F.col("shard") - first) * tasks / (last - first)).cast("int")).sortWithinPartitions("slot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held, count = None, [], 0
@@ -151,11 +197,43 @@ def shards(docs: DataFrame, p: TokenShards) -> DataFrame:
     return ranged.select("shard", "ids").mapInArrow(run, "shard long, first_slot long, n_sequences long, stride int, payload binary")
 
 
+def shards(docs: DataFrame, p: TokenShards) -> DataFrame:
+    """(shard, first_slot, n_sequences, stride, payload): every shard as the bytes of its file."""
+    rows, n = sequences(docs, p)
+    return shards_of(rows, n, p, 0, -(-n // p.per_shard))
+
+
+def materialise(docs: DataFrame, p: TokenShards, folder: str) -> DataFrame:
+    """All shards of docs, written to folder in p.rounds rounds with a manifest; what write_shards returns for each."""
+    spark = docs.sparkSession
+    rows, n = sequences(docs, p)
+    total = -(-n // p.per_shard)
+    with open(p.vocabulary, "rb") as f:
+        manifest = {"sequences": n, "shards": total, "key": p.key, "length": p.length, "per_shard": p.per_shard, "bytes_per_id": p.bytes_per_id, "end": p.end, "pad": p.pad, "vocabulary_md5": hashlib.md5(f.read()).hexdigest()}
+    os.makedirs(folder, exist_ok=True)
+    # files beyond the last shard, of another corpus, would be taken for ours
+    for name in os.listdir(folder):
+        if (m := re.fullmatch(r"shard-(\d{8,})\.bin", name)) and int(m[1]) >= total:
+            os.remove(os.path.join(folder, name))
+    edges = [total * k // p.rounds for k in range(p.rounds + 1)]
+    done = None
+    for first, last in zip(edges[:-1], edges[1:]):
+        if first < last:
+            part = write_shared(write_shards(shards_of(rows, n, p, first, last), folder), "shards")
+            free_shuffles(spark)
+            done = part if done is None else done.unionByName(part)
+    path = os.path.join(folder, "manifest.json")
+    with open(path + ".part", "w") as f:
+        json.dump(manifest, f)
+    os.replace(path + ".part", path)
+    return done if done is not None else write_shards(shards_of(rows, n, p, 0, 0), folder)
+
+
 def write_shards(made: DataFrame, folder: str) -> DataFrame:
     """Write each shard to `<folder>/shard-<number>.bin`; (shard, first_slot, n_sequences, stride, path, bytes, written).
 
     folder is one that all executors can write, as a mounted file system. A file that holds its payload is left alone,
-    so a broken run resumes; files appear under their name only when complete, and are read again after writing.
+    so a broken run resumes, and one of another key, corpus or vocabulary is overwritten; files appear under their name only when complete, and are read again after writing.
     """
     def holds(path: str, payload: bytes) -> bool:
         if not os.path.exists(path) or os.path.getsize(path) != len(payload):
