@@ -1,4 +1,4 @@
-"""Normalisers that need call-backs, nesting or Unicode folding: T2-T17, T21-T23, T25, M1-M5 of the survey.
+"""Normalisers that need call-backs, nesting or Unicode folding: T2-T17, T21-T23, M1-M5 of the survey.
 
 Each is a plain function of one text (null counts as empty) and is offered to DataFrames and SQL as an Arrow UDF by
 `glyphmill.functions.udfs`. The steps stand in tables, in the order in which they apply.
@@ -270,10 +270,3 @@ def output(text: str | None, numbers: bool = True, units: bool = True) -> str:
 
 def nfkc(text: str | None) -> str:
     return unicodedata.normalize("NFKC", text or "")
-
-
-def lookup_form(text: str | None) -> str:
-    """Identifiers without accents, in capitals, words of A-Z and 0-9."""
-    s = "".join(c for c in unicodedata.normalize("NFKD", text or "") if not unicodedata.combining(c)).upper()
-    s = s.replace("&", " AND ").replace("CUNEIFORM TABLET", " ")
-    return clean(re.sub("[^A-Z0-9]+", " ", s))

@@ -7,12 +7,15 @@ import re
 from glyphmill.functions.normalize import clean, translation
 
 DOT = "\ue000"
-ABBREVIATIONS = "mr mrs ms dr prof sr jr st etc e.g i.e cf vs no fig eq vol pp p ca approx lit var ed eds".split()
+ABBREVIATIONS = "al ca cf dr e.g ed eds etc fig figs i.e jr mr mrs ms no nos p pp prof rev sr st vol vs".split()
+#: Dots inside numbers; after initials and after abbreviations, if a word follows.
 PROTECTED = (
     re.compile(r"(?<=\d)\.(?=\d)"),
-    re.compile(r"\b(?:[A-Z]\.){2,}"),
-    re.compile(r"(?i)\b(?:%s)\." % "|".join(re.escape(a) for a in sorted(ABBREVIATIONS, key=len, reverse=True))),
+    re.compile(r"\b(?:[A-Z]\.){2,}(?=\s+\w)"),
+    re.compile(r"(?i)\b(?:%s)\.(?=\s+\w)" % "|".join(re.escape(a) for a in sorted(ABBREVIATIONS, key=len, reverse=True))),
 )
+#: A sentence with its closing mark, quotes after it and blanks; or the rest.
+SENTENCE = re.compile(r"(?s).*?[.!?][\"']*\s+|.+")
 #: Words before a dot that end no sentence, for counting.
 GUARDED = frozenset("e.g i.e etc cf vs mr mrs ms dr prof sr jr st no fig eq vol pp p".split())
 
@@ -33,9 +36,9 @@ def split(text: str | None, least: int = 20) -> list[str]:
     """Sentences of the normalised text; those under `least` characters join the one before."""
     whole = protected(translation(text))
     pieces: list[str] = []
-    for part in re.split(r"(?<=[.!?])(?![\"'.!?])\s+|(?<=[.!?][\"'])\s+|(?<=[.!?][\"'][\"'])\s+", whole):
+    for part in SENTENCE.findall(whole):
         part = part.strip()
-        if part.count(";") >= 2 or len(part) >= 300:
+        if part.count(";") >= 2 or len(part) + 6 * part.count(DOT) >= 300:
             chunks = [c for c in map(str.strip, part.split(";")) if c]
             pieces += [c + ";" for c in chunks[:-1]] + chunks[-1:]
         elif part:
@@ -69,7 +72,8 @@ def count(text: str | None) -> int:
 def single(text: str | None, mode: str = "merge") -> str:
     """One sentence. merge joins the others with semicolons; truncate keeps the first.
 
-    Marks are replaced from the last to the first, so a run of marks shifts no later one.
+    Places are those of the text as it was: behind a run of several marks that became one, later ones are off by what it
+    lost, which the reference results have too.
     """
     s = clean(text)
     found = boundaries(s)
@@ -77,9 +81,10 @@ def single(text: str | None, mode: str = "merge") -> str:
         return s
     if mode == "truncate":
         return s[: found[0][1] + 1].strip()
-    for first, last in reversed(found[:-1]):
-        s = s[:first] + ";" + s[last + 1 :]
-    return clean(re.sub(r"\s*;\s*", "; ", s))
+    letters = list(s)
+    for first, last in found[:-1]:
+        letters[first : last + 1] = ";"
+    return clean(re.sub(r"\s*;\s*", "; ", "".join(letters)))
 
 
 def packed(text: str | None, most: int = 900) -> list[str]:

@@ -1,6 +1,7 @@
 """Text expressions that stay inside whole-stage code generation: statistics, tokens, n-grams, similarity.
 
-Operators Q1, Q2, Q9-Q13, B1-B10, L1, R1, R2, T1, T18, T24, N3, N5, N8, N9, D7, M6, M7 and X13 of the survey. Null text counts as empty.
+Operators Q1, Q2, Q9-Q14, Q16, B1-B10, L1, L7, R1, R2, T1, T18-T20, T24, T26, T32, N3, N8, N9, D7 and M7 of the survey; `profile` counts them in
+one Arrow pass where many are wanted. Null text counts as empty.
 """
 
 from __future__ import annotations
@@ -8,13 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Stop words by language; tokens are ASCII words of two letters or more.
-STOPWORDS: dict[str, tuple[str, ...]] = {
-    "de": ("und", "ist", "der", "die", "das", "den", "dem", "ein", "eine", "nicht", "mit", "von", "zu", "auf", "im", "sich", "des", "als", "auch", "es", "an", "er", "sie", "wir", "bei", "oder", "aber", "wie"),
-    "en": ("the", "and", "of", "to", "in", "is", "was", "for", "with", "that", "this", "from", "by", "at", "it", "as", "be", "are", "on", "or", "his", "her", "their", "they", "which", "who", "has", "have", "had", "not", "but", "an", "she", "he", "we", "our", "its", "were", "them", "also", "into", "these", "those"),
-    "fr": ("le", "la", "les", "des", "du", "une", "un", "et", "est", "dans", "pour", "par", "sur", "que", "qui", "pas", "au", "aux", "avec", "ce", "ces", "se", "il", "elle", "ou", "de", "en", "son", "ses"),
-    "es": ("el", "los", "las", "que", "por", "con", "una", "para", "del", "se", "su", "como", "al", "lo", "de", "la", "no", "es", "un", "en", "y"),
-}
+from glyphmill.functions.profile import STOPWORDS
+
 EDGE = ".,;:!?()[]{}<>\"'"
 
 
@@ -57,6 +53,70 @@ def text_stats(c: Column) -> dict[str, Column]:
     }
 
 
+def newlines(c: Column) -> Column:
+    """Written and real line ends as line feeds, soft hyphens gone."""
+    s = F.regexp_replace(text_or_empty(c), r"\\r\\n|\\n|\\r|\r\n|\r", "\n")
+    return F.regexp_replace(s, "\u00ad", "")
+
+
+def ocr_text(c: Column) -> Column:
+    """T18, blanks before line ends gone, words joined that a hyphen broke at a line end, at most one empty line."""
+    s = F.regexp_replace(newlines(c), "[ \t]+\n", "\n")
+    s = F.regexp_replace(s, r"(?U)(?<=\w)-\n(?=\w)", "")
+    return F.regexp_replace(s, "\n{3,}", "\n\n")
+
+
+def cleaner_text(c: Column) -> Column:
+    """As T19 with plain dashes and apostrophes, and words joined before blanks at line ends go."""
+    s = F.regexp_replace(F.regexp_replace(newlines(c), "[–—−]", "-"), "[’‘ʾʼ]", "'")
+    s = F.regexp_replace(F.regexp_replace(s, r"(?U)(?<=\w)-\n(?=\w)", ""), "[ \t]+\n", "\n")
+    return F.regexp_replace(s, "\n{3,}", "\n\n")
+
+
+def without_hints(c: Column, collapse: bool = True) -> Column:
+    """The text without <LEX>..</LEX> blocks; T24b leaves its blanks as they are."""
+    s = F.regexp_replace(text_or_empty(c), r"(?is)<LEX>.*?</LEX>", " ")
+    return clean(s) if collapse else s
+
+
+ACCENTS = ("áàâäÁÀÂÄéèêëÉÈÊËíìîïÍÌÎÏúùûüÚÙÛÜšŠṣṢṭṬḫḪ", "aaaaAAAAeeeeEEEEiiiiIIIIuuuuUUUUsSsStThH")
+
+
+def anchor_token(t: Column) -> Column:
+    """A token without marks at its ends and without accents, in capitals."""
+    return F.upper(F.translate(F.trim(t, F.lit(EDGE)), *ACCENTS))
+
+
+def truncated(c: Column, most: int) -> Column:
+    """The text, cut to `most` characters with dots at its end if it is longer."""
+    return F.when(F.length(c) <= most, c).otherwise(F.concat(F.substring(c, 1, max(0, most - 3)), F.lit("...")))
+
+
+def pipe_list(c: Column) -> Column:
+    """The non-blank parts between bars."""
+    return F.filter(F.transform(F.split(text_or_empty(c), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def distinct_list(items: Column) -> Column:
+    """Non-blank items, trimmed, each where it stands first."""
+    return F.array_distinct(F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != ""))
+
+
+def with_flag(found: Column, flag: str, when: Column) -> Column:
+    """Q14: flags with one more at the end, if it is not there."""
+    return F.when(when & ~F.array_contains(found, flag), F.concat(found, F.array(F.lit(flag)))).otherwise(found)
+
+
+def has_gap(c: Column) -> Column:
+    """Q16."""
+    return text_or_empty(c).rlike("<gap>|<big_gap>")
+
+
+def has_determinative(c: Column) -> Column:
+    """Q16: a sign in braces."""
+    return text_or_empty(c).rlike(r"\{[^}]+\}")
+
+
 def sentence_endings(c: Column) -> Column:
     """Runs of closing marks that end a word."""
     return F.regexp_count(text_or_empty(c), F.lit(r"[.!?]+"))

@@ -9,7 +9,8 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphmill.functions import normalize, sentences
+from glyphmill.functions import normalize, ocr, sentences
+from glyphmill.operators import slots
 from glyphmill.shared import ship
 
 STRING, LONG, STRINGS = T.StringType(), T.LongType(), T.ArrayType(T.StringType())
@@ -21,7 +22,14 @@ TEXT: dict[str, tuple[Callable, T.DataType]] = {
     "normalize_translation": (normalize.translation, STRING),
     "normalize_output": (normalize.output, STRING),
     "nfkc": (normalize.nfkc, STRING),
-    "lookup_form": (normalize.lookup_form, STRING),
+    "lookup_form": (ocr.lookup_form, STRING),
+    "block_hash": (ocr.block_hash, STRING),
+    "lemma": (ocr.lemma, STRING),
+    "gloss": (ocr.gloss, STRING),
+    "without_line_numbers": (ocr.without_line_numbers, STRING),
+    "translation_page": (lambda t: ocr.translation_page(t)[0], STRING),
+    "transliteration_page": (lambda t: ocr.transliteration_page(t)[0], STRING),
+    "slot_text": (lambda t: slots.slotted(t)[0], STRING),
     "split_sentences": (sentences.split, STRINGS),
     "sentence_endings": (sentences.endings, LONG),
     "sentence_count": (sentences.count, LONG),

@@ -5,16 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.functions.text import chars, text_or_empty, windows
+from glyphmill.functions.text import chars, text_or_empty, tokens, windows
+from glyphmill.shared import write_shared
 
 CHAR_ORDERS, WORD_ORDERS, BLEU_ORDERS = 6, 2, 4
 
 
 def chr_words(c: Column) -> Column:
-    """Words with punctuation at an end split off, as chrF++ counts them."""
-    spaced = F.regexp_replace(text_or_empty(c), r"(\S)([.,!?;:\"'()\[\]]+)(\s|$)", "$1 $2$3")
-    spaced = F.regexp_replace(spaced, r"(^|\s)([.,!?;:\"'()\[\]]+)(\S)", "$1$2 $3")
-    return F.filter(F.split(spaced, r"\s+"), lambda t: t != "")
+    """Words with one mark split off their end, else off their beginning, as chrF++ counts them."""
+    mark = r"[!-/:-@\[-`{-~]"
+
+    def cut(t: Column) -> Column:
+        n = F.length(t)
+        ends, begins = (n > 1) & t.rlike(mark + "$"), (n > 1) & t.rlike("^" + mark)
+        return F.when(ends, F.array(F.substr(t, F.lit(1), n - 1), F.right(t, F.lit(1)))).when(begins, F.array(F.left(t, F.lit(1)), F.substr(t, F.lit(2)))).otherwise(F.array(t))
+
+    return F.flatten(F.transform(F.filter(F.split(text_or_empty(c), r"\s+"), lambda t: t != ""), cut))
 
 
 def tokens_13a(c: Column) -> Column:
@@ -50,21 +56,24 @@ def chrf_kinds(hyp: str, ref: str) -> dict[str, tuple[Column, Column, int]]:
     return {"char": (characters(F.col(hyp)), characters(F.col(ref)), CHAR_ORDERS), "word": (chr_words(F.col(hyp)), chr_words(F.col(ref)), WORD_ORDERS)}
 
 
-def bleu_kinds(hyp: str, ref: str) -> dict[str, tuple[Column, Column, int]]:
-    return {"bleu": (tokens_13a(F.col(hyp)), tokens_13a(F.col(ref)), BLEU_ORDERS)}
+def bleu_kinds(hyp: str, ref: str, tokenize: str = "13a") -> dict[str, tuple[Column, Column, int]]:
+    """Tokenize is 13a, or none for parts between blanks."""
+    cut = tokens_13a if tokenize == "13a" else tokens
+    return {"bleu": (cut(F.col(hyp)), cut(F.col(ref)), BLEU_ORDERS)}
 
 
 def chrf(stats: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """chrF++ (beta 2) of summed statistics: the mean F over orders that occur on both sides."""
+    """chrF++ (beta 2) of summed statistics: mean precision and recall over the orders that occur on both sides, then their F."""
     summed = stats.where(F.col("kind").isin("char", "word")).groupBy(*(keys or []), "kind", "n").agg(*[F.sum(c).alias(c) for c in ("matches", "n_hyp", "n_ref")])
-    p, r = F.col("matches") / F.col("n_hyp"), F.col("matches") / F.col("n_ref")
-    f = F.when((F.col("matches") > 0), 5 * p * r / (4 * p + r)).otherwise(F.lit(0.0))
-    counted = summed.where((F.col("n_hyp") > 0) & (F.col("n_ref") > 0))
-    return counted.groupBy(*(keys or [])).agg((100 * F.sum(f) / F.count("*")).alias("chrf"))
+    has = (F.col("n_hyp") > 0) & (F.col("n_ref") > 0)
+    mean = lambda c: F.coalesce(F.avg(F.when(has, F.col("matches") / F.col(c))), F.lit(0.0))
+    both = summed.groupBy(*(keys or [])).agg(mean("n_hyp").alias("p"), mean("n_ref").alias("r"))
+    p, r = F.col("p"), F.col("r")
+    return both.select(*(keys or []), F.when(p + r > 0, 500 * p * r / (4 * p + r)).otherwise(F.lit(0.0)).alias("chrf"))
 
 
 def bleu(stats: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """BLEU of summed statistics, zero matches smoothed by halving."""
+    """BLEU of summed statistics, zero matches smoothed by halving; 0 without any match."""
     by_n = stats.where("kind = 'bleu'").groupBy(*(keys or []), "n").agg(*[F.sum(c).alias(c) for c in ("matches", "n_hyp", "n_ref")])
     orders = by_n.groupBy(*(keys or [])).agg(F.sort_array(F.collect_list(F.struct("n", "matches", "n_hyp", "n_ref"))).alias("o"))
     first = F.element_at("o", 1)
@@ -78,5 +87,17 @@ def bleu(stats: DataFrame, keys: list[str] | None = None) -> DataFrame:
         ),
     )
     penalty = F.when(first["n_hyp"] < first["n_ref"], F.exp(1 - first["n_ref"] / first["n_hyp"])).otherwise(F.lit(1.0))
-    score = F.when(F.size(F.filter("o", lambda x: x["n_hyp"] > 0)) < BLEU_ORDERS, F.lit(0.0)).otherwise(100 * penalty * F.exp(folded["log"] / BLEU_ORDERS))
+    none = (F.size(F.filter("o", lambda x: x["n_hyp"] > 0)) < BLEU_ORDERS) | ~F.exists("o", lambda x: x["matches"] > 0)
+    score = F.when(none, F.lit(0.0)).otherwise(100 * penalty * F.exp(folded["log"] / BLEU_ORDERS))
     return orders.select(*(keys or []), score.alias("bleu"))
+
+
+def corpus_scores(pairs: DataFrame, hyp: str, ref: str, tokenize: str = "13a") -> DataFrame:
+    """(bleu, chrf, gm) of all pairs in one row; all null where no reference has any text."""
+    keyed = pairs.select(F.monotonically_increasing_id().alias("_key"), hyp, ref)
+    s = statistics(keyed, "_key", hyp, ref, chrf_kinds(hyp, ref) | bleu_kinds(hyp, ref, tokenize))
+    s = write_shared(s.groupBy("kind", "n").agg(*[F.sum(c).alias(c) for c in ("matches", "n_hyp", "n_ref")]), "scores")
+    known = pairs.agg(F.coalesce(F.max(F.trim(text_or_empty(F.col(ref))) != ""), F.lit(False)).alias("known"))
+    both = chrf(s).crossJoin(bleu(s)).crossJoin(known)
+    only = lambda c: F.when(F.col("known"), c)
+    return both.select(only(F.col("bleu")).alias("bleu"), only(F.col("chrf")).alias("chrf"), only(F.sqrt(F.col("bleu") * F.col("chrf"))).alias("gm"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.functions.text import STOPWORDS
+from glyphmill.functions.profile import ENGLISH, STOPWORDS
+from glyphmill.functions.sentences import ABBREVIATIONS
 from glyphmill.shared import ship
 
 
@@ -34,7 +35,7 @@ def sql_words(text: str) -> str:
 
 
 def sql_hits(words: str, language: str) -> str:
-    listed = ", ".join(f"'{w}'" for w in STOPWORDS[language])
+    listed = ", ".join(f"'{w}'" for w in (ENGLISH if language == "english" else STOPWORDS[language]))
     return f"len(list_filter({words}, lambda w: list_contains([{listed}], w)))"
 
 
@@ -61,3 +62,18 @@ STATS = f"""stats as (
     (len - n_alpha - n_digit - n_space) / greatest(len - n_space, 1) as symbol, n_upper / greatest(n_alpha, 1) as upper_share
   from (select *, length(text) as len, len({sql_tokens('text')}) as tokens, {sql_count('text', '\\p{L}')} as n_alpha, {sql_count('text', '\\p{Nd}')} as n_digit,
     {sql_count('text', '\\p{Lu}')} as n_upper, {sql_count('text', '\\s')} as n_space from documents))"""
+
+
+def sql_side(c: str, p: str) -> str:
+    """What gates look at of a text column, named p_...: lengths, tokens, ratios, stop words, endings."""
+    alpha, digit, upper, space = (sql_count(c, k) for k in ("\\p{L}", "\\p{Nd}", "\\p{Lu}", "\\s"))
+    content = f"greatest(length({c}) - {space}, 1)"
+    return f"""length({c}) as {p}_len, len({sql_tokens(c)}) as {p}_tokens, {alpha} / {content} as {p}_alpha, {digit} / {content} as {p}_digit, (length({c}) - {alpha} - {digit} - {space}) / {content} as {p}_symbol,
+  {upper} / greatest({alpha}, 1) as {p}_upper, {sql_hits(sql_words(c), 'english')} as {p}_hits, regexp_matches({c}, '[\\x00-\\x08\\x0E-\\x1B]') as {p}_control, {sql_endings(c)} as {p}_ends"""
+
+
+def sql_endings(c: str) -> str:
+    """Abbreviations and initials before a word lose their dots first."""
+    words = "|".join(a.replace(".", "\\.") for a in sorted(ABBREVIATIONS, key=len, reverse=True))
+    s = f"regexp_replace(regexp_replace({c}, '\\b(?:[A-Z]\\.){{2,}}(\\s+\\w)', 'X\\1', 'g'), '(?i)\\b(?:{words})\\.(\\s+\\w)', 'x\\1', 'g')"
+    return f"len(regexp_extract_all({s}, '[.!?](?:[\"'')\\]]*\\s|$)'))"

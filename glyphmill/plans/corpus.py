@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import text as X
 from glyphmill.functions import udfs
-from glyphmill.operators import lexicon
+from glyphmill.functions.profile import ENGLISH, profile, ratios
+from glyphmill.operators import lexicon, pages
 from glyphmill.operators.ordering import first_by
 from glyphmill.plans.common import STATS, r6, read, sql_bare, sql_clean, sql_hits, sql_tokens, sql_words
 
@@ -16,8 +17,8 @@ LEAST_TOKENS, MOST_CHARS, LEAST_ALPHA, MOST_DIGIT, MOST_SYMBOL, MOST_UPPER = 8,
 
 
 def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    return docs.select("*", *[c.alias(k) for k, c in X.text_stats(F.col("text")).items()])
+    docs = read(spark, sf_dir, "documents").withColumn("_p", profile(F.col("text"), words=False))
+    return docs.select("*", "_p.len", "_p.tokens", *[c.alias(k) for k, c in ratios(F.col("_p")).items()]).drop("_p")
 
 
 def doc_text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,10 +108,10 @@ def sentence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def languages(docs: DataFrame) -> DataFrame:
-    w = docs.select("*", X.words(F.col("text")).alias("_words"), *[c.alias(k) for k, c in X.text_stats(F.col("text")).items()])
-    hits = w.select("*", *[X.stopword_hits(F.col("_words"), k).alias(f"hits_{k}") for k in X.STOPWORDS])
-    name, confidence = X.language_of({k: F.col(f"hits_{k}") for k in X.STOPWORDS}, F.size("_words"), F.col("alpha_ratio"), F.col("upper_ratio"))
-    return hits.select("*", name.alias("detected"), confidence.alias("confidence")).drop("_words")
+    d = docs.withColumn("_p", profile(F.col("text")))
+    d = d.select("*", "_p.len", "_p.tokens", "_p.words", "_p.hits_english", *[F.col(f"_p.hits_{k}") for k in X.STOPWORDS], *[c.alias(k) for k, c in ratios(F.col("_p")).items()]).drop("_p")
+    name, confidence = X.language_of({k: F.col(f"hits_{k}") for k in X.STOPWORDS}, F.col("tokens"), F.col("alpha_ratio"), F.col("upper_ratio"))
+    return d.select("*", name.alias("detected"), confidence.alias("confidence"))
 
 
 def stopword_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,9 +123,9 @@ def sql_languages() -> str:
     names = list(X.STOPWORDS)
     hits = ", ".join(f"{sql_hits('w', k)} as hits_{k}" for k in names)
     ranked = "list_sort([" + ", ".join(f"{{'h': -hits_{k}, 'k': '{k}'}}" for k in names) + "])"
-    return f"""{STATS}, worded as (select *, {sql_words('text')} as w from stats), hit as (select *, {hits} from worded), ranked as (select *, {ranked} as r from hit),
+    return f"""{STATS}, worded as (select *, {sql_words('text')} as w from stats), hit as (select *, {hits}, {sql_hits('w', 'english')} as hits_english from worded), ranked as (select *, {ranked} as r from hit),
 languages as (select *, case when r[1].h < 0 then r[1].k when alpha >= 0.72 and upper_share <= 0.28 then 'other' else 'unknown' end as detected,
-  case when r[1].h < 0 then (r[2].h - r[1].h) / greatest(len(w), 1) else 0.0 end as confidence from ranked)"""
+  case when r[1].h < 0 then (r[2].h - r[1].h) / greatest(tokens, 1) else 0.0 end as confidence from ranked)"""
 
 
 def translation_like(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +134,7 @@ def translation_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = F.greatest(*[F.col(f"hits_{k}") for k in X.STOPWORDS])
     score = X.translation_score(F.col("alpha_ratio"), best, F.col("confidence"))
     like = (F.col("tokens") >= 8) & (F.col("alpha_ratio") >= 0.6) & (F.col("digit_ratio") <= 0.2) & (F.col("upper_ratio") <= 0.4) & ((best >= 2) | (F.col("detected") == "other"))
-    return d.select("doc_id", r6(score).alias("translation_score"), r6(X.english_score(F.col("alpha_ratio"), F.col("hits_en"))).alias("english_score"), like.alias("is_translation"))
+    return d.select("doc_id", r6(score).alias("translation_score"), r6(X.english_score(F.col("alpha_ratio"), F.col("hits_english"))).alias("english_score"), like.alias("is_translation"))
 
 
 def translit_like(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,17 +190,26 @@ def translation_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("block_hash", "occurrences", "sources", "f.lang", "f.source", "f.doc_id", "f.block")
 
 
+def filed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text, title): documents as pages of books named after parts; a document belongs to the part of its number."""
+    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat_ws(" ", "p_name", F.col("p_size").cast("string"), "p_brand").alias("title"))
+    return read(spark, sf_dir, "documents").select("doc_id", "text").join(parts, "doc_id", "left").withColumn("title", F.coalesce("title", F.lit("")))
+
+
+def part_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts' names with sizes, and brands, as keys of a catalogue."""
+    fields = {"name": F.concat_ws(" ", "p_name", F.col("p_size").cast("string")), "brand": F.col("p_brand")}
+    return pages.catalogue(read(spark, sf_dir, "part"), "p_partkey", fields)
+
+
 def metadata_signature_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L5, J5 in part (catalogue and tokens are open, see README): benchmark items as catalogue keys; documents that hold all words of a key, probed by its rarest word."""
-    keys = read(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(X.words(F.col("text"))).alias("key")).where(F.size("key") > 0)
-    tokens = keys.select("item_id", F.explode("key").alias("token"))
-    frequency = tokens.groupBy("token").agg(F.count("*").alias("freq"))
-    signature = tokens.join(frequency, "token").groupBy("item_id").agg(F.min_by("token", F.struct("freq", F.length("token"), "token")).alias("signature"))
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.array_distinct(X.words(F.col("text"))).alias("words"))
-    # the words of a document travel once for each candidate, not once for each word
-    probe = docs.select("doc_id", F.explode("words").alias("signature")).join(signature, "signature")
-    held = probe.join(docs, "doc_id").join(keys, "item_id").where(F.size(F.array_except("key", "words")) == 0)
-    return held.select("doc_id", "item_id", "signature")
+    """Every key of the parts' catalogue with its tokens and its rarest token that is no number."""
+    return part_keys(spark, sf_dir).select(F.col("entry").alias("p_partkey"), "field", F.array_join("tokens", " ").alias("tokens"), "signature")
+
+
+def metadata_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the parts whose keys they or their titles hold whole: the best five, and how far the second lies behind."""
+    return pages.hit_summary(pages.hits(filed(spark, sf_dir), part_keys(spark, sf_dir), "doc_id", "text", "title")).withColumnRenamed("page", "doc_id")
 
 
 def placeholder_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,7 +268,13 @@ _STRIPPED = "list_filter(list_transform({t}, lambda t: trim(t, '.,;:!?()[]{{}}<>
 _HITS = ", ".join(f"hits_{k}" for k in X.STOPWORDS)
 _MARKS = "len(list_filter(st, lambda t: regexp_matches(t, '[0-9.\\-''ŠḪṢṬšḫṣṭ]') or (length(t) >= 2 and t = upper(t) and t <> lower(t)))) / greatest(len(st), 1)"
 
-QUERIES = {f.__name__: f for f in (doc_text_stats, doc_quality_flags, flag_histogram, clean_rows, series_quantiles, text_profile, clean_text, gap_and_caps_rates, block_split, sentence_endings_naive, sentence_rows, stopword_language_id, translation_like, translit_like, page_cleaning, html_strip, template_counts, pair_dedupe, union_by_name, translation_jobs, metadata_signature_index, placeholder_restore, slot_numbers, normalized_variants, normalized_output)}
+_LOOKUP = lambda c: f"list_filter(string_split(regexp_replace(upper({c}), '[^A-Z0-9]+', ' ', 'g'), ' '), lambda t: t <> '')"
+_CATALOGUE = f"""parts as (select p_partkey as entry, 'name' as field, p_name || ' ' || p_size as raw from part union all select p_partkey, 'brand', p_brand from part), forms as (select * from (select *, {_LOOKUP('raw')} as t from parts) where len(t) between 1 and 6 and regexp_matches(raw, '[0-9]') and (len(t) > 2 or len(list_filter(t, lambda x: regexp_matches(x, '[A-Z]') and regexp_matches(x, '[0-9]'))) > 0)),
+token as (select entry, field, unnest(list_distinct(t)) as x from forms), freq as (select x, count(*) as f from token group by x),
+signed as (select entry, field, x as signature from (select *, row_number() over (partition by entry, field order by regexp_matches(x, '^[0-9]+$'), f, length(x), x) as k from token join freq using (x)) where k = 1),
+keyed as (select entry, field, raw, t, array_to_string(t, ' ') as tokens, signature from forms join signed using (entry, field))"""
+
+QUERIES = {f.__name__: f for f in (doc_text_stats, doc_quality_flags, flag_histogram, clean_rows, series_quantiles, text_profile, clean_text, gap_and_caps_rates, block_split, sentence_endings_naive, sentence_rows, stopword_language_id, translation_like, translit_like, page_cleaning, html_strip, template_counts, pair_dedupe, union_by_name, translation_jobs, metadata_signature_index, metadata_hits, placeholder_restore, slot_numbers, normalized_variants, normalized_output)}
 
 ORACLE_SQL = {
     "doc_text_stats": f"with {STATS} select doc_id, len, cast(tokens as bigint) as tokens, round(alpha, 6) as alpha_ratio, round(digit, 6) as digit_ratio, round(symbol, 6) as symbol_ratio, round(upper_share, 6) as upper_ratio from stats",
@@ -274,7 +290,7 @@ ORACLE_SQL = {
     "block_split": f"with b as (select doc_id, {sql_blocks('text')} as x from documents) select doc_id, cast(i - 1 as bigint) as block, x[i] as text from (select doc_id, x, unnest(range(1, len(x) + 1)) as i from b)",
     "sentence_endings_naive": "select doc_id, cast(len(regexp_extract_all(text, '[.!?]+')) as bigint) as n_endings from documents",
     "stopword_language_id": f"with {sql_languages()} select doc_id, lang, detected, round(confidence, 6) as confidence, {_HITS} from languages",
-    "translation_like": f"with {sql_languages()} select doc_id, round(alpha * 0.55 + least(greatest({_HITS}), 3) / 3 * 0.30 + confidence * 0.15, 6) as translation_score, round(alpha * 0.7 + least(hits_en, 3) / 3 * 0.3, 6) as english_score, tokens >= 8 and alpha >= 0.6 and digit <= 0.2 and upper_share <= 0.4 and (greatest({_HITS}) >= 2 or detected = 'other') as is_translation from languages",
+    "translation_like": f"with {sql_languages()} select doc_id, round(alpha * 0.55 + least(greatest({_HITS}), 3) / 3 * 0.30 + confidence * 0.15, 6) as translation_score, round(alpha * 0.7 + least(hits_english, 3) / 3 * 0.3, 6) as english_score, tokens >= 8 and alpha >= 0.6 and digit <= 0.2 and upper_share <= 0.4 and (greatest({_HITS}) >= 2 or detected = 'other') as is_translation from languages",
     "translit_like": f"with {STATS}, s as (select *, {_STRIPPED} as st from stats), m as (select *, {_MARKS} as marks from s) select doc_id, round(marks, 6) as marker_ratio, round(greatest(marks, upper_share), 6) as translit_score, marks >= 0.35 or upper_share >= 0.35 as is_translit from m",
     "page_cleaning": f"with l as (select doc_id, len(string_split(text, chr(10))) as n, {lines_of('text')} as kept from documents), j as (select doc_id, n - len(kept) as dropped, array_to_string(kept, chr(10)) as j from l) select doc_id, dropped as lines_dropped, cast(len(regexp_extract_all(j, '{'|'.join(REMOVED)}')) as bigint) as parts_removed, {sql_clean(f'''regexp_replace(j, '{'|'.join(REMOVED)}', '', 'g')''')} as text from j",
     "html_strip": "select page_id, regexp_replace(html, '(?i)</?(sup|sub|br|i|b|u|em|strong|span)(\\s[^>]*)?>', '', 'g') as html from pages",
@@ -282,8 +298,11 @@ ORACLE_SQL = {
     "pair_dedupe": f"with d as (select doc_id, md5(lang || chr(9) || {sql_clean('text')}) as pair_hash from documents) select min(doc_id) as doc_id, pair_hash from d group by pair_hash",
     "union_by_name": "select cast(doc_id as varchar) as doc_id, text, lang, null::varchar as item_id from documents union all select null, text, null, cast(item_id as varchar) from benchmark",
     "translation_jobs": f"with b as (select doc_id, lang, source, {sql_blocks('text')} as x from documents where lang <> 'en'), r as (select *, i - 1 as block, md5(x[i]) as block_hash from (select *, unnest(range(1, len(x) + 1)) as i from b)), f as (select *, row_number() over (partition by block_hash order by doc_id, block) as k from r) select block_hash, count(*) as occurrences, array_to_string(list_sort(list(distinct source)), '|') as sources, max(lang) filter (k = 1) as lang, max(source) filter (k = 1) as source, max(doc_id) filter (k = 1) as doc_id, max(block) filter (k = 1) as block from f group by block_hash",
-    "metadata_signature_index": f"""with k as (select item_id, list_distinct({sql_words('text')}) as key from benchmark), t as (select item_id, unnest(key) as token from k), freq as (select token, count(*) as f from t group by token),
-s as (select item_id, arg_min(token, {{'f': f, 'n': length(token), 't': token}}) as signature from t join freq using (token) group by item_id),
-d as (select doc_id, list_distinct({sql_words('text')}) as w from documents)
-select doc_id, item_id, signature from d, s join k using (item_id) where list_contains(w, signature) and len(list_filter(key, lambda t: not list_contains(w, t))) = 0""",
+    "metadata_signature_index": f"with {_CATALOGUE} select entry as p_partkey, field, tokens, signature from keyed",
+    "metadata_hits": f"""with {_CATALOGUE}, titled as (select doc_id, text, coalesce(p_name || ' ' || p_size || ' ' || p_brand, '') as title from documents left join part on p_partkey = doc_id),
+docs as (select doc_id, list_distinct({_LOOKUP('strip_accents(text)')}) as in_page, list_distinct({_LOOKUP('title')}) as in_title from titled), probe as (select doc_id, in_page, in_title, unnest(list_distinct(list_concat(in_page, in_title))) as signature from docs),
+met as (select doc_id, entry, field, raw, t, len(list_filter(t, lambda x: not list_contains(in_page, x))) = 0 as page_hit, len(list_filter(t, lambda x: not list_contains(in_title, x))) = 0 as title_hit from probe join keyed using (signature)),
+scored as (select *, round(case when title_hit then 1.0 else 0.0 end + case when page_hit then 0.75 else 0.0 end + case when len(t) >= 3 then 0.15 else 0.0 end + case when len(list_filter(t, lambda x: regexp_matches(x, '[A-Z]') and regexp_matches(x, '[0-9]'))) > 0 then 0.1 else 0.0 end, 6) as score from met where (page_hit or title_hit) and (len(t) > 2 or title_hit)),
+best as (select * from (select *, row_number() over (partition by doc_id, entry order by score desc, field, raw) as k from scored) where k = 1), ranked as (select * from (select *, row_number() over (partition by doc_id order by score desc, entry) as nth from best) where nth <= 5)
+select doc_id, string_agg(cast(entry as varchar), '|' order by nth) as entries, count(*) as n_hits, max(score) as top_score, coalesce(max(score) filter (nth = 2), 0.0) as second_score, round(max(score) - coalesce(max(score) filter (nth = 2), 0.0), 6) as score_gap, count(*) filter (title_hit) as n_title, count(*) filter (page_hit) as n_page from ranked group by doc_id""",
 }

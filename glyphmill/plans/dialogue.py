@@ -214,13 +214,49 @@ def shift_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("conv_id", "turn", best.alias("b")).where("b.s >= 0").select("conv_id", "turn", (-F.col("b.o")).cast("long").alias("best_offset"), r6(F.col("b.s")).alias("best_sim"))
 
 
+#: Where each type is mended.
+ROUTES = {"T00": "OK", "T01": "OUTPUT_PP", "T02": "OUTPUT_PP", "T03": "OUTPUT_PP", "T04": "OUTPUT_PP", "T10": "INPUT_PP+OUTPUT_PP", "T11": "INPUT_PP+OUTPUT_PP", "T20": "DECODE+OUTPUT_PP", "T21": "DECODE", "T22": "DECODE", "T30": "ALIGN", "T31": "ALIGN", "T90": "MODEL"}
+#: U8: kind, condition, priority and what to do; the first condition that holds counts. In the SQL that both engines read.
+_HAS = lambda *tags: " or ".join(f"contains('|' || tags || '|', '|{t}|')" for t in tags)
+_GAP_OF = lambda a, b: f"cast(abs({a} - {b}) as double) + case when {a} = {b} then 0.25 else 0.0 end"
+TODO = (
+    ("ALIGN_SHIFT", "kind like 'T30%'", "greatest(best_sim - sim_self, 0.0)", "alignment: the prediction fits the reference at offset"),
+    ("ALIGN_MERGE", "kind like 'T31%'", "greatest(sim_merge_next - sim_self, sim_merge_prev - sim_self, 0.0)", "segmentation: the prediction fits the reference joined with its neighbour"),
+    ("NUMERIC_PRESERVE", f"t90_reason = 'T90_NUMERIC' or {_HAS('TAG_NUM_DROP', 'TAG_NUM_HALLUC')}", _GAP_OF("ref_digit", "pred_digit"), "numbers differ: use number slots or copy constraints"),
+    ("NAME_PRESERVE", f"t90_reason = 'T90_NAME' or {_HAS('TAG_NAME_DROP', 'TAG_NAME_HALLUC')}", _GAP_OF("ref_names", "pred_names"), "names differ: use name slots, or hints for them"),
+    ("GLOSS_LEAK", "t90_reason = 'T90_GLOSS_LEAK' or gloss_leak", "1.0", "hints in the prediction: strip them from the output"),
+    ("COPY_SRC", "t90_reason = 'T90_COPY_SRC' or copy_src", "greatest(1.0 - sim_self, 0.0)", "source words in the prediction: constrain or clean"),
+    ("TEMPLATE_OR_REPETITION", f"t90_reason = 'T90_TEMPLATE_COLLAPSE' or kind = 'T22_REPETITION' or template_count >= {TEMPLATE}", "cast(greatest(template_count, 1) as double)", "many predictions are alike: constrain repetition when decoding"),
+    ("TRUNCATION", "kind = 'T21_TRUNCATION'", "greatest(1.0 - len_ratio, 0.0)", "the prediction is short: raise length limits"),
+    ("MULTI_SENTENCE", "kind = 'T20_MULTI_SENTENCE'", "0.5", "several sentences: make them one"),
+    ("MODERN_NOTATION", "kind = 'T11_MODERN_NOTATION'", "0.5", "editorial marks in the prediction: normalise"),
+    ("GAP_MARKER", "kind = 'T10_GAP_MARKER'", "0.5", "gaps differ: normalise them on both sides"),
+    ("NEAR_MATCH", "kind = 'T04_NEAR_MATCH'", "sim_self", "nearly right: normalise the output"),
+    ("STYLE_MINOR", "kind in ('T01_SPACE_OR_PUNCT', 'T03_CASE_OR_MINOR_STYLE')", "sim_self", "style alone: normalise the output"),
+)
+_CASE = lambda i, last="null": "case " + " ".join(f"when {t[1]} then {t[i] if i == 2 else repr(t[i])}" for t in TODO) + f" else {last} end"
+
+
+def todo_rules(rows: DataFrame, per_group: int | None, group: str = "conv_id", place: str = "turn") -> DataFrame:
+    """What an audit's rows ask for, by priority (then how much better another place fits), `per_group` of each group.
+
+    todo_rank counts within the group; a rank over all rows is a sort of few columns (`ordering.numbered`), where one is wanted.
+    """
+    around = Window.partitionBy(group).orderBy(place)
+    rows = rows.select("*", F.lag("ref").over(around).alias("ref_prev"), F.lead("ref").over(around).alias("ref_next"), F.col("primary").alias("kind"), F.array_join("tags", "|").alias("_tags")).drop("tags").withColumnRenamed("_tags", "tags")
+    rows = rows.withColumns({"best_offset": F.col("best.k").cast("long"), "best_sim": F.col("best.sim"), "fix_route": F.element_at(F.create_map(*[F.lit(x) for kv in ROUTES.items() for x in kv]), F.substring("kind", 1, 3))})
+    for c in ("sim_self", "best_sim", "sim_merge_next", "sim_merge_prev", "len_ratio"):
+        rows = rows.withColumn(c, r6(F.col(c)))
+    rows = rows.select("*", F.expr(_CASE(0)).alias("todo_type"), r6(F.expr(_CASE(2)).cast("double")).alias("priority"), F.expr(_CASE(3)).alias("action")).where("todo_type is not null")
+    rows = rows.withColumn("target", F.when((F.col("todo_type") == "ALIGN_SHIFT") & (F.col("best_offset") != 0), F.col(place) + F.col("best_offset")).otherwise(F.col(place)).cast("long"))
+    order = [F.desc("priority"), F.desc(r6(F.col("best_sim") - F.col("sim_self"))), F.desc("best_sim"), F.desc("sim_self"), F.asc(place)]
+    return first_by(rows, [group], order, per_group or (1 << 31) - 1, "todo_rank")
+
+
 def todo_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """U8 in part, W8, W13: the two worst rows of each conversation with priority; four classes, no action (see README)."""
-    a = audited(spark, sf_dir).where("primary <> 'T00_EXACT'")
-    kind = F.when(F.col("primary").startswith("T3"), "ALIGN").when(F.col("primary").isin("T01_UNICODE_OR_WS", "T02_PUNCT_SPACING", "T03_CASE_OR_MINOR_STYLE"), "STYLE").when(F.col("primary").startswith("T2"), "DECODE").otherwise("MODEL")
-    priority = F.when(kind == "ALIGN", 1).when(kind == "DECODE", 2).when(kind == "MODEL", 3).otherwise(4)
-    rows = a.select("conv_id", "turn", kind.alias("todo_type"), priority.alias("priority"), r6(F.col("sim_self")).alias("sim_self"))
-    return first_by(rows, ["conv_id"], [F.asc("priority"), F.asc("sim_self"), F.asc("turn")], 2, "todo_rank")
+    """The two most pressing rows of each conversation."""
+    a = audited(spark, sf_dir)
+    return todo_rules(a, 2).select("conv_id", "turn", "todo_rank", "todo_type", "priority", "action", "fix_route", "target", F.md5(F.coalesce("ref_prev", F.lit(""))).alias("ref_prev"), F.md5(F.coalesce("ref_next", F.lit(""))).alias("ref_next"))
 
 
 def corpus_chrf_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,10 +272,7 @@ def keyed(p: DataFrame) -> DataFrame:
 
 def corpus_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BLEU, chrF++ and their geometric mean over all pairs."""
-    p = keyed(pairs(spark, sf_dir))
-    s = metrics.statistics(p, "key", "tgt", "src", metrics.chrf_kinds("tgt", "src") | metrics.bleu_kinds("tgt", "src")).cache()
-    both = metrics.chrf(s).crossJoin(metrics.bleu(s))
-    return both.select(r6(F.col("bleu")).alias("bleu"), r6(F.col("chrf")).alias("chrf"), r6(F.sqrt(F.col("bleu") * F.col("chrf"))).alias("gm"))
+    return metrics.corpus_scores(pairs(spark, sf_dir), "tgt", "src").select(*[r6(F.col(c)).alias(c) for c in ("bleu", "chrf", "gm")])
 
 
 def dp_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -340,6 +373,9 @@ ORACLE_SQL = {
     + f" from g {_W}), s as (select conv_id, turn, list_sort(["
     + ", ".join(f"{{'s': case when g_{k + SHIFT} is null then -1.0 else {sql_jaccard('g', f'g_{k + SHIFT}')} end, 'o': {-k}}}" for k in _TURN_OFFSETS)
     + "], 'DESC')[1] as b from n) select conv_id, turn, cast(-b.o as bigint) as best_offset, round(b.s, 6) as best_sim from s where b.s >= 0",
-    "todo_caps": f"with {_AUDITED}, k as (select conv_id, turn, case when starts_with(\"primary\", 'T3') then 'ALIGN' when \"primary\" in ('T01_UNICODE_OR_WS', 'T02_PUNCT_SPACING', 'T03_CASE_OR_MINOR_STYLE') then 'STYLE' when starts_with(\"primary\", 'T2') then 'DECODE' else 'MODEL' end as todo_type, round(sim_self, 6) as sim_self from audited where \"primary\" <> 'T00_EXACT'), p as (select *, case todo_type when 'ALIGN' then 1 when 'DECODE' then 2 when 'MODEL' then 3 else 4 end as priority from k), r as (select *, cast(row_number() over (partition by conv_id order by priority, sim_self, turn) as int) as todo_rank from p) select * from r where todo_rank <= 2",
+    "todo_caps": f"""with {_AUDITED}, flat as (select conv_id, turn, "primary" as kind, array_to_string(tags, '|') as tags, t90_reason, round(sim_self, 6) as sim_self, cast(best.k as bigint) as best_offset, round(best.sim, 6) as best_sim, round(sim_merge_next, 6) as sim_merge_next, round(sim_merge_prev, 6) as sim_merge_prev,
+  round(len_ratio, 6) as len_ratio, ref_digit, pred_digit, ref_names, pred_names, gloss_leak, copy_src, template_count, md5(coalesce(lag(ref) over w, '')) as ref_prev, md5(coalesce(lead(ref) over w, '')) as ref_next from audited {_W}),
+  typed as (select *, {_CASE(0)} as todo_type, round(cast({_CASE(2)} as double), 6) as priority, {_CASE(3)} as action from flat), ranked as (select *, cast(row_number() over (partition by conv_id order by priority desc, round(best_sim - sim_self, 6) desc, best_sim desc, sim_self desc, turn) as int) as todo_rank from typed where todo_type is not null)
+  select conv_id, turn, todo_rank, todo_type, priority, action, case substr(kind, 1, 3) {' '.join(f"when '{k}' then '{v}'" for k, v in ROUTES.items())} end as fix_route, case when todo_type = 'ALIGN_SHIFT' and best_offset <> 0 then cast(turn + best_offset as bigint) else cast(turn as bigint) end as target, ref_prev, ref_next from ranked where todo_rank <= 2""",
     "corpus_chrf_stats": f"with {SQL_PAIRS}, s as (select conv_id, turn, 0 as side, {sql_bare('tgt')} as t from pairs union all select conv_id, turn, 1, {sql_bare('src')} from pairs), g as (select conv_id, turn, side, n, unnest(list_transform(range(1, length(t) - n + 2), lambda i: substr(t, i, n))) as gram from s, (select unnest(range(1, 7)) as n)), c as (select conv_id, turn, n, gram, count(*) filter (side = 0) as h, count(*) filter (side = 1) as r from g group by all) select n, cast(sum(least(h, r)) as bigint) as matches, cast(sum(h) as bigint) as n_hyp, cast(sum(r) as bigint) as n_ref from c group by n",
 }

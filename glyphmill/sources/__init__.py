@@ -1,0 +1 @@
+"""Reading and writing tables, configurations and side files."""
