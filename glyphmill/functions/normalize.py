@@ -9,8 +9,8 @@ from __future__ import annotations
 import re
 import unicodedata
 
-DASHES = dict.fromkeys(map(ord, "‐‑‒–—―−"), "-")
-APOSTROPHES = dict.fromkeys(map(ord, "‘’‛ʼ`´"), "'")
+DASHES = dict.fromkeys(map(ord, "–—−"), "-")
+APOSTROPHES = dict.fromkeys(map(ord, "‘’ʼʾ"), "'")
 QUOTES = dict.fromkeys(map(ord, "“”„"), '"')
 LOW_DIGITS = {ord("₀") + i: str(i) for i in range(10)}
 HIGH_DIGITS = {ord(c): str(i) for i, c in enumerate("⁰¹²³⁴⁵⁶⁷⁸⁹")}
@@ -135,8 +135,11 @@ AFTER_GLOSSES = [
         (r"[*/]\([^)]*\)", " "),
         (r"(?<!\S)P[1-4](?!\S)", " "),
         (r"(?<!\S)(?::['\".:]?|[*/])(?!\S)", " "),
-        (r"\||\$\d+|\$", ""),
-        (r"~[a-z0-9]+|@\w+", ""),
+        (r"\|", ""),
+        (r"\$\d+", ""),
+        (r"\$", ""),
+        (r"~[a-z0-9]+", ""),
+        (r"@\w+", ""),
         (r"~", ""),
         (r"[;=]", " "),
         (r"[!?#*]", ""),
@@ -226,7 +229,7 @@ def translation(text: str | None) -> str:
 # ---- numbers ----
 
 VULGAR = {c: (n, d) for c, n, d in zip("½⅓⅔¼¾⅕⅖⅗⅘⅙⅚⅐⅛⅜⅝⅞⅑⅒", (1, 1, 2, 1, 3, 1, 2, 3, 4, 1, 5, 1, 1, 3, 5, 7, 1, 1), (2, 3, 3, 4, 4, 5, 5, 5, 5, 6, 6, 7, 8, 8, 8, 8, 9, 10))}
-UNITS = ("shekels", "shekel", "minas", "mina", "talents", "talent", "textiles", "textile", "years", "year", "months", "month", "days", "day", "sheep", "donkeys", "donkey", "grains")
+UNITS = tuple(w + s for w in "mina shekel talent grain litre week month day year".split() for s in ("s", ""))
 
 
 def decimal_of(whole: int, top: int, bottom: int) -> str | None:
@@ -245,21 +248,24 @@ def fraction(whole: int, top: int, bottom: int) -> str:
     return decimal_of(whole, top, bottom) or (f"{whole} " if whole else "") + f"{top} / {bottom}"
 
 
-def fractions(text: str) -> str:
-    """M3 and M4: vulgar characters, then written fractions."""
-    s = re.sub(rf"(?:(\d+)\s*)?([{''.join(VULGAR)}])", lambda m: fraction(int(m[1] or 0), *VULGAR[m[2]]), text)
-    s = s.replace("⁄", "/")
-    return re.sub(r"(?<![\d./])(?:(\d+)\s+)?(\d+)\s*/\s*(\d+)(?![\d./])", lambda m: fraction(int(m[1] or 0), int(m[2]), int(m[3])), s)
+def vulgar(text: str) -> str:
+    """M3."""
+    return re.sub(rf"(?:(\d+)\s*)?([{''.join(VULGAR)}])", lambda m: fraction(int(m[1] or 0), *VULGAR[m[2]]), text)
+
+
+def written(text: str) -> str:
+    """M4: fractions written with a slash, those behind a whole number first."""
+    for pattern in (r"\b(\d+)\s+(\d+)\s*/\s*(\d+)\b", r"\b()(\d+)\s*/\s*(\d+)\b"):
+        text = re.sub(pattern, lambda m: fraction(int(m[1] or 0), int(m[2]), int(m[3])), text)
+    return text
 
 
 def output(text: str | None, numbers: bool = True, units: bool = True) -> str:
     """Translations as they are handed in."""
-    s = text or ""
-    if numbers:
-        s = fractions(s)
+    s = vulgar(text or "") if numbers else text or ""
     s = punctuation(unicodedata.normalize("NFKC", s))
     if numbers:
-        s = fractions(s)
+        s = written(s.replace("⁄", "/"))
     if units:
         s = re.sub(rf"(?i)(\d+(?:\.\d+)?)({'|'.join(UNITS)})\b", r"\1 \2", s)
     return clean(s)

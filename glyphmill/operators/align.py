@@ -25,7 +25,7 @@ def segment_sizes(total: int, lengths: list[int], least: int = 3, low: float = 0
 
     The cost of a segment is the square of its distance from its share of the tokens, and 5 for each token under `least`.
     Sizes lie within low..high of the share; the last takes the rest. Ties go to the earliest start, then to the least
-    size. Where no cut fits, the cuts are in proportion. All starts of one segment are weighed at once.
+    size. Where no cut fits, the cuts are in proportion. All starts of a segment of one size are weighed at once.
     """
     n = len(lengths)
     if n < 2 or not total or not sum(lengths):
@@ -38,16 +38,20 @@ def segment_sizes(total: int, lengths: list[int], least: int = 3, low: float = 0
         floor = max(1, int(d * low))
         top = max(floor, int(d * high) + 1)
         new = np.full(total + 1, np.inf)
-        after = n - 1 - i
-        for k in np.flatnonzero(best < np.inf):
-            most = min(top, total - k - after)
-            if most < 1:
-                continue
-            sizes = np.arange(min(floor, most), most + 1)
-            cost = best[k] + (sizes - d) ** 2 + 5.0 * np.maximum(least - sizes, 0)
-            better = cost < new[k + sizes]
-            new[k + sizes[better]] = cost[better]
-            chosen[i, k + sizes[better]] = sizes[better]
+        # each segment to come needs a token
+        limit = total - (n - 1 - i)
+
+        def weigh(size: int, starts: slice, ends: slice, new: np.ndarray = new, i: int = i, d: float = d) -> None:
+            cost = best[starts] + (size - d) ** 2 + 5.0 * max(least - size, 0)
+            better = cost < new[ends]
+            new[ends][better] = cost[better]
+            chosen[i, ends][better] = size
+
+        for size in range(min(top, limit), floor - 1, -1):
+            weigh(size, slice(0, limit + 1 - size), slice(size, limit + 1))
+        # where fewer tokens than the floor are left, all of them
+        for size in range(min(floor - 1, limit), 0, -1):
+            weigh(size, slice(limit - size, limit - size + 1), slice(limit, limit + 1))
         best = new
     last = total - np.arange(total + 1)
     closing = np.where(last >= 1, best + (last - share[-1]) ** 2 + 5.0 * np.maximum(least - last, 0), np.inf)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.functions import ocr
-from glyphmill.functions.normalize import APOSTROPHES, DASHES, LOW_DIGITS, QUOTES, clean, nfkc
+from glyphmill.functions.normalize import LOW_DIGITS, clean, nfkc
 from glyphmill.functions import text as X
 
 Lexicon = dict[tuple[str, ...], object]
@@ -170,9 +170,13 @@ class Slots:
     strip_hints: bool = True
 
 
+#: Plain digits, quotes, apostrophes and dashes.
+VIEW = LOW_DIGITS | {ord("ₓ"): "x"} | dict.fromkeys(map(ord, "«»„“”"), '"') | dict.fromkeys(map(ord, "´ʻʼʾ‘’‚‛′"), "'") | dict.fromkeys(map(ord, "‐‑–—−"), "-")
+
+
 def view(text: str | None) -> str:
     """T21 and T1."""
-    s = nfkc(text).translate(LOW_DIGITS | {ord("ₓ"): "x"} | QUOTES | APOSTROPHES | DASHES)
+    s = nfkc(text).translate(VIEW)
     s = re.sub(r"(?i)<\s*(big_)?gap\s*>", lambda m: "<big_gap>" if m[1] else "<gap>", s)
     return clean(s)
 

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.plans import corpus, dialogue, quality, search, splits
+from glyphmill.plans import corpus, dialogue, files, memory, quality, search, splits
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = corpus.QUERIES | dialogue.QUERIES | quality.QUERIES | search.QUERIES | splits.QUERIES
-ORACLE_SQL: dict[str, str] = corpus.ORACLE_SQL | dialogue.ORACLE_SQL | quality.ORACLE_SQL | search.ORACLE_SQL | splits.ORACLE_SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = corpus.QUERIES | dialogue.QUERIES | files.QUERIES | memory.QUERIES | quality.QUERIES | search.QUERIES | splits.QUERIES
+ORACLE_SQL: dict[str, str] = corpus.ORACLE_SQL | dialogue.ORACLE_SQL | files.ORACLE_SQL | memory.ORACLE_SQL | quality.ORACLE_SQL | search.ORACLE_SQL | splits.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -233,10 +233,10 @@ def append_csv(df: DataFrame, folder: str) -> None:
 
 
 def write_json(spark: SparkSession, path: str, payload: dict) -> None:
-    """K5, K8: a side file of statistics, keys sorted; decimals and rows as plain numbers and lists."""
+    """K5, K8: a side file of statistics, keys sorted; decimals as numbers and rows as lists."""
     from glyphmill.shared import _write_bytes
 
-    _write_bytes(spark, path, json.dumps(payload, ensure_ascii=False, indent=2, sort_keys=True, default=lambda x: x.asDict() if hasattr(x, "asDict") else float(x)).encode())
+    _write_bytes(spark, path, json.dumps(payload, ensure_ascii=False, indent=2, sort_keys=True, default=float).encode())
 
 
 def write_index(folder: str, weights: DataFrame, idf: DataFrame, meta: DataFrame, settings: dict) -> None:
