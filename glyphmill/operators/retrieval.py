@@ -1,9 +1,21 @@
-"""Character n-gram TF-IDF retrieval by postings joins (R3-R7, R11) and rule reranking."""
+"""Character and word n-gram TF-IDF retrieval (R3-R7, R11) and rule reranking.
+
+`top_k` joins postings and serves tables that are near in size. `search` holds a bounded set of queries against a corpus of
+any size: the corpus is scanned twice, once to count in how many texts each term stands and once to score, and nothing
+of it is shuffled but those counts and each task's best matches.
+"""
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glyphmill.functions.text import chars, let, punctuation_excess, text_or_empty, windows
 from glyphmill.operators.ordering import first_by
@@ -49,6 +61,97 @@ def top_k(queries: DataFrame, corpus: DataFrame, query_key: str, corpus_key: str
     return first_by(sims.where(F.col("sim") >= least), ["query"], [F.desc("sim"), F.asc("match")], k, "rank")
 
 
+#: Most queries, and most different terms of a corpus, that are sent to every task.
+QUERIES, TERMS = 20_000, 2_000_000
+
+
+def terms_of(text: str | None, low: int, high: int, words: bool = False) -> Counter:
+    """The n-grams of a text: of characters with white space collapsed, or of words."""
+    if words:
+        w = re.findall(r"\b\w+\b", text or "")
+        return Counter(" ".join(w[i : i + n]) for n in range(low, high + 1) for i in range(len(w) - n + 1))
+    s = re.sub(r"\s\s+", " ", text or "")
+    return Counter(s[i : i + n] for n in range(low, high + 1) for i in range(len(s) - n + 1))
+
+
+def term_frequencies(df: DataFrame, text: str, low: int, high: int, words: bool = False) -> DataFrame:
+    """(term, n): in how many texts each term stands; each task adds up what it reads before anything is shuffled."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
+
+        for batch in batches:
+            for t in batch.column("text").to_pylist():
+                total.update(terms_of(t, low, high, words).keys())
+            if len(total) > 500_000:
+                yield out()
+                total.clear()
+        yield out()
+
+    return df.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def search(queries: DataFrame, corpus: DataFrame, key: str, text: str, k: int, low: int = 3, high: int = 3, least: float = 0.0, words: bool = False, min_df: int = 1, max_df: float = 1.0, max_features: int | None = None) -> DataFrame:
+    """(query, match, sim, rank): the k nearest texts of the corpus to each query by cosine, ties by match; exact.
+
+    At most QUERIES queries and a corpus of at most TERMS terms; more are an error here and go through `tfidf` and `top_k`.
+    """
+    n = corpus.count()
+    frequent = term_frequencies(corpus, text, low, high, words).where((F.col("n") >= min_df) & (F.col("n") <= max_df * n))
+    frequent = frequent.orderBy(F.desc("n"), "term").limit(max_features) if max_features else frequent.limit(TERMS + 1)
+    found = frequent.toArrow()
+    asked = queries.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).limit(QUERIES + 1).collect()
+    if found.num_rows > TERMS or len(asked) > QUERIES:
+        raise ValueError(f"over {TERMS} terms or {QUERIES} queries: use tfidf and top_k")
+    idf = {t: math.log((1 + n) / (1 + d)) + 1 for t, d in zip(found["term"].to_pylist(), found["n"].to_pylist())}
+
+    def weights(t: str | None) -> dict[str, float]:
+        w = {term: tf * idf[term] for term, tf in terms_of(t, low, high, words).items() if term in idf}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        return {term: x / norm for term, x in w.items()} if norm else {}
+
+    wanted: dict[str, list[tuple[int, float]]] = {}
+    for i, row in enumerate(asked):
+        for term, x in weights(row.text).items():
+            wanted.setdefault(term, []).append((i, x))
+    held = queries.sparkSession.sparkContext.broadcast((idf, wanted))
+    narrow = corpus.select(F.col(key).alias("match"), F.col(text).cast("string").alias("text"))
+    schema = T.StructType([T.StructField("place", T.IntegerType()), narrow.schema["match"], T.StructField("sim", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, wanted = held.value
+        best: dict[int, list[tuple[float, object]]] = {}
+
+        def cut(rows: list) -> list:
+            return sorted(rows, key=lambda r: (-r[0], r[1]))[:k]
+
+        for batch in batches:
+            for match, t in zip(batch.column("match").to_pylist(), batch.column("text").to_pylist()):
+                squares, sims = 0.0, {}
+                for term, tf in terms_of(t, low, high, words).items():
+                    if (x := idf.get(term)) is None:
+                        continue
+                    x *= tf
+                    squares += x * x
+                    for i, y in wanted.get(term, ()):
+                        sims[i] = sims.get(i, 0.0) + x * y
+                for i, s in sims.items():
+                    if (s := round(s / math.sqrt(squares), 6)) >= least and match is not None:
+                        rows = best.setdefault(i, [])
+                        rows.append((s, match))
+                        if len(rows) > 8 * k:
+                            best[i] = cut(rows)
+        rows = [(i, m, s) for i, r in best.items() for s, m in cut(r)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.int32(), batch.schema.field("match").type, pa.float64()))], names=schema.names)
+
+    places = queries.sparkSession.createDataFrame([(i, r.key) for i, r in enumerate(asked)], T.StructType([T.StructField("place", T.IntegerType()), T.StructField("query", queries.schema[key].dataType)]))
+    near = first_by(narrow.mapInArrow(run, schema), ["place"], [F.desc("sim"), F.asc("match")], k, "rank")
+    return near.join(F.broadcast(places), "place").select("query", "match", "sim", "rank")
+
+
 def rule_score(sim: Column, text: Column, mean: Column, std: Column) -> Column:
     """Similarity less penalties for repeated closing marks, unusual length and digits."""
     size = F.length(text_or_empty(text))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as X
-from glyphmill.operators import metrics, retrieval
+from glyphmill.operators import retrieval
 from glyphmill.operators.ordering import first_by
 from glyphmill.plans.common import r6, read, sql_tokens
 
@@ -18,9 +18,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tm_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five documents nearest to each benchmark item by TF-IDF of three characters."""
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    corpus, idf = retrieval.tfidf(docs, "id", "text")
-    queries = retrieval.weighted(retrieval.counts(items(spark, sf_dir), "id", "text", 3, 3), idf, "id")
-    return retrieval.top_k(queries, corpus, "id", "id", 5, least=0.05)
+    return retrieval.search(items(spark, sf_dir), docs, "id", "text", 5, least=0.05)
 
 
 def neighbours(spark: SparkSession, sf_dir: str, n: int = 3, k: int = 3) -> DataFrame:
@@ -50,7 +48,7 @@ def retrieval_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidate_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Noisy-channel choice among the two first candidates, for a grid of weights."""
+    """The frame of R15 with a proxy: similarity less a weight of length stands in for both scores (`noisy_channel` has R15 itself)."""
     grid = F.explode(F.array(*map(F.lit, (0.0, 0.5, 1.0)))).alias("weight")
     kept = candidates(spark, sf_dir).where("rank <= 2").select("query", "match", "rank", "sim", F.length("text").alias("n"), grid)
     scored = kept.withColumn("score", r6(F.col("sim") - F.col("weight") * F.log(F.col("n") + 1) / 10))
@@ -58,7 +56,7 @@ def candidate_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E2, E3 by the F-measure of distinct words: the candidate nearest to the item itself."""
+    """The frame of E3 with a proxy, the F-measure of distinct words, that SQL can repeat (`oracle_choice` has E2 and E3 themselves)."""
     bag = lambda c: F.array_distinct(X.tokens(F.lower(F.col(c))))
     gold = items(spark, sf_dir).select(F.col("id").alias("query"), bag("text").alias("gold"))
     c = candidates(spark, sf_dir).select("query", "match", "rank", bag("text").alias("words")).join(gold, "query")
@@ -66,18 +64,7 @@ def oracle_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_by(c.select("query", "match", "rank", "f"), ["query"], [F.desc("f"), F.asc("rank")])
 
 
-def mbr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The candidate with the greatest mean chrF++ against the others of its list."""
-    c = candidates(spark, sf_dir).select("query", "match", "text")
-    pairs = c.join(c.select("query", F.col("match").alias("other"), F.col("text").alias("other_text")), "query").where("match <> other")
-    pairs = pairs.withColumn("key", F.concat_ws("-", "query", "match", "other"))
-    stats = metrics.statistics(pairs, "key", "text", "other_text", metrics.chrf_kinds("text", "other_text"))
-    scored = metrics.chrf(stats, ["key"]).join(pairs.select("key", "query", "match"), "key")
-    mean = scored.groupBy("query", "match").agg(r6(F.avg("chrf")).alias("utility"))
-    return first_by(mean, ["query"], [F.desc("utility"), F.asc("match")])
-
-
-QUERIES = {f.__name__: f for f in (tm_topk, knn_rerank, retrieval_ensemble, candidate_selection, oracle_pick, mbr_select)}
+QUERIES = {f.__name__: f for f in (tm_topk, knn_rerank, retrieval_ensemble, candidate_selection, oracle_pick)}
 
 
 def sql_terms(source: str, n: int) -> str:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import io
 import re
@@ -15,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Arrow batches are bounded by bytes too: 10,000 long texts would exceed what one batch can hold.
 BATCH_BOUNDS = {"spark.sql.execution.arrow.maxBytesPerBatch": 64 << 20}
 
@@ -58,11 +58,17 @@ def local_folder(spark: SparkSession, name: str, of: str) -> str:
 def write_shared(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it again; codec: of its Parquet files.
 
-    The result depends on the written files alone, so that losing an executor costs no recomputation.
+    The result depends on the written files alone, so that losing an executor costs no recomputation. The shuffle files of
+    the write are deleted when it ends, rather than when the driver's garbage happens to be collected.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    (df.write.option("compression", codec) if codec else df.write).parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        (df.write.option("compression", codec) if codec else df.write).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     written = spark.read.schema(df.schema).parquet(path)
     written._shared_path = path
     return written
@@ -73,16 +79,6 @@ def few(df: DataFrame, bound: int) -> DataFrame:
     return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Have the shuffle files of DataFrames that nothing refers to any more deleted now.
-
-    Spark deletes them when the driver's garbage is collected; a driver with a large heap does so rarely, and wide shuffles
-    that are done with would fill the executors' disks.
-    """
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def drop_shared(df: DataFrame) -> None:
     """Delete the files of a table that write_shared returned and that nothing reads any more."""
     spark = df.sparkSession

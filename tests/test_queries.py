@@ -10,7 +10,7 @@ from glyphmill.operators import retrieval
 from glyphmill.plans import catalog
 from tests.conftest import SF
 
-TABLES = "documents pages benchmark labels conversations part".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
@@ -50,6 +50,25 @@ def test_top_k_by_brute_force(spark):
     assert all(found[k][1] == pytest.approx(brute[k][1], abs=2e-6) for k in brute)
 
 
+def test_search_equals_postings(spark):
+    import random
+
+    from glyphmill.shared import ship
+
+    ship(spark)
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choice(["river", "bank", "old  stone", "am", "é", ""]) for _ in range(rng.randint(0, 8)))) for k in range(60)] + [(99, None)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    corpus, idf = retrieval.tfidf(df, "id", "text")
+    queries = df.where("id % 5 = 0")
+    w = retrieval.weighted(retrieval.counts(queries, "id", "text", 3, 3), idf, "id")
+    key = lambda r: (r.query, r["rank"])
+    one, other = ({key(r): r for r in x.collect()} for x in (retrieval.search(queries, df, "id", "text", 4, least=0.05), retrieval.top_k(w, corpus, "id", "id", 4, least=0.05)))
+    assert one.keys() == other.keys() and all(one[k].sim == pytest.approx(other[k].sim, abs=2e-6) for k in one)
+    assert retrieval.terms_of("Der alte Fluss", 1, 2, words=True) == {"Der": 1, "alte": 1, "Fluss": 1, "Der alte": 1, "alte Fluss": 1}
+    assert retrieval.search(queries, df, "id", "text", 1, 1, 2, words=True, min_df=2, max_features=3).count() > 0
+
+
 def test_entry_points_without_the_llm_folders(tmp_path):
     import shutil
     from pathlib import Path
