@@ -14,10 +14,10 @@ and all positives, and none is left out. The rows that the weights are fitted to
 those of the least hashes); the unlabelled ones are of all documents, labelled or not, as the risk demands. Scoring reads
 every document whole. Words are matched by 64-bit hash.
 
-Cases: null and empty texts are not toxic; null labels are no labels; repeated labels count once; without any positive
-nothing is toxic; repeated documents are scored alike; very long texts are read whole; empty tables give an empty one; a
-score of 0 is not toxic; ties in the samples' hashes go by doc_id, which may be of any type that can be ordered; other
-columns don't matter.
+Cases: null and empty texts are not toxic; null labels are no labels; repeated labels count once; without any positive, or
+any term that tells positives from the rest, nothing is toxic; repeated documents are scored alike; very long texts are read
+whole; empty tables give an empty one; a score of 0 is not toxic; ties in the samples' hashes go by doc_id, which may be of
+any type that can be ordered; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -125,7 +125,7 @@ def fit(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: fl
 
 
 def train(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> Model | None:
-    """A model from documents (doc_id, text) and labels (doc_id, toxic); None without positives."""
+    """A model from documents (doc_id, text) and labels (doc_id, toxic); None without positives or features."""
     spark = docs.sparkSession
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -158,6 +158,8 @@ def train(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> Model
     precision = prior * F.col("k") / n_pos / share_all
     found = counted.where((F.col("k") >= p.least_count) & (z >= p.least_z) & (precision >= p.least_precision)).select("word").toArrow()
     hashes = np.sort(found["word"].to_numpy().view(np.uint64))
+    if not len(hashes):
+        return None
 
     hashed = [F.xxhash64(F.lit(p.seed), F.col("doc_id")), F.col("doc_id")]
     chosen = marked.where("positive").select("doc_id").distinct().orderBy(*hashed).limit(p.positives).select("doc_id", F.lit(True).alias("positive"))

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from glyphmill.llm import bpe, decontam, html, neardup, pii, quality, queries, secrets, shard, tokenbin, toxicity
 from glyphmill.llm.queries import VOCABULARY
-from glyphmill.shared import ship
+from glyphmill.shared import ship, write_shared
 from tests.conftest import SF
 
 PROSE = "Nine quiet rivers cross the old valley, and each of them carries a different story toward the market towns below. "
 ROWS = [(1, PROSE * 3), (1, PROSE * 3), (2, None), (3, ""), (None, "nobody's row of a few plain words, mail ann@site.org"), (4, " \n "), (5, "long " * 30000 + "x" * 5000), (6, PROSE * 3 + "Extra."), (7, "tie"), (8, "tie")]
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CLASHING = ["verdict", "ratio", "rid", "row", "key", "position", "shard", "h", "place", "n_tokens", "keep"]
 
 
@@ -67,6 +68,17 @@ def test_odd_rows_and_empty_tables(spark, odd, network, name):
         assert sorted(r.position for r in out.select("position").collect()) == list(range(10))
     if name == "bpe":
         assert all(r.round_trip for r in out.collect())
+    if name == "drop":
+        assert sorted(r.doc_id or 0 for r in out.select("doc_id").collect()) == [0, 2, 3, 4, 5, 7, 8]
+    if name in ("toxic", "secrets"):
+        assert n == 0
+    if name == "pii":
+        texts = [t for _, t in ROWS]
+        wanted = pii._by_text(pa.array([t or "" for t in texts]), network, pii.Pii())
+        assert sorted((r.doc_id or 0, [(x.start, x.end, x.label) for x in r.spans]) for r in out.collect()) == sorted((ROWS[i][0] or 0, x) for i, x in wanted.items())
+    if name == "tokens":
+        exact = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.read_ranks(VOCABULARY), special_tokens={})
+        assert sum(r.n_sequences for r in out.collect()) == sum(-(-(len(exact.encode_ordinary(t)) + 1) // 16) for _, t in ROWS if t)
 
 
 def test_near_duplicates_against_brute_force(table):
@@ -88,8 +100,7 @@ def test_token_shards_hold_every_document(table, tmp_path):
     made = tokenbin.shards(docs, p)
     written = tokenbin.write_shards(made, str(tmp_path)).collect()
     n = sum(r.bytes for r in written) // p.stride
-    pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    exact = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(VOCABULARY), special_tokens={})
+    exact = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.read_ranks(VOCABULARY), special_tokens={})
     rows = docs.withColumn("h", F.xxhash64("text")).orderBy("doc_id", "h").collect()
     sequences = []
     for r in rows:
@@ -142,12 +153,25 @@ def test_toxicity_counts_terms_over_all_documents(spark):
     assert found - set(range(18)) == {i for i in range(18, 40_000) if i % 8 == 0}
 
 
-def test_pipeline_stages(spark, odd, table):
+def test_pipeline_stages(spark, odd, table, network, monkeypatch):
     docs = table("documents")
-    for name, stage in corpus_pipeline.STAGES[:3]:
-        out = stage(spark, docs, SF)
-        assert out.columns == docs.columns
-        kept = out.count()
-        assert 0.6 * docs.count() < kept < docs.count() or name == "decontamination" and kept < docs.count()
-        docs = spark.createDataFrame(out.collect(), out.schema)
-    assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
+    assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "near dedup", "decontamination", "pii", "bpe"]
+    for name, stage in corpus_pipeline.STAGES:
+        with monkeypatch.context() as m:
+            m.setattr(pii, "train", lambda docs: network)
+            assert stage(spark, odd.limit(0), SF).count() == 0
+            strange = stage(spark, odd, SF)
+        out = write_shared(stage(spark, docs, SF), "stage")
+        n, kept = docs.count(), out.count()
+        if name == "bpe":
+            assert strange.count() == 10 and kept == n and all(r.round_trip for r in out.select("round_trip").collect())
+            decoded = {r.doc_id: r.text for r in bpe.decode_documents(out, bpe.Bpe(VOCABULARY)).collect()}
+            assert decoded == {r.doc_id: r.text for r in docs.collect()}
+            continue
+        assert strange.columns == odd.columns and out.columns == docs.columns and strange.count() == {"quality rules": quality.compression_ratios(odd).where("verdict = 'keep'").count(), "near dedup": 7, "decontamination": 10, "pii": 10}[name]
+        assert kept == n if name == "pii" else kept < n and (name == "decontamination" or 0.6 * n < kept)
+        if name == "pii":
+            before, after = ({r.doc_id: r for r in d.collect()} for d in (docs, out))
+            changed = [k for k in after if after[k].text != before[k].text]
+            assert changed and all(after[k].n_chars == len(after[k].text) for k in after) and all("[" in after[k].text for k in changed)
+        docs = out
