@@ -37,7 +37,8 @@ COUNTS = ("len", "tokens", *BITS, "words", *LISTS)
 def classes() -> np.ndarray:
     """The classes of every code point, as Python's string methods have them."""
     table = np.zeros(0x110000, np.uint8)
-    for c in range(0x110000):
+    # no letter, digit or blank is assigned beyond
+    for c in range(0x32400):
         s = chr(c)
         table[c] = ALPHA * s.isalpha() | DIGIT * s.isdigit() | UPPER * s.isupper() | SPACE * s.isspace() | CONTROL * (c < 32 and not s.isspace())
     return table

