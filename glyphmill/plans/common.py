@@ -75,5 +75,6 @@ def sql_side(c: str, p: str) -> str:
 def sql_endings(c: str) -> str:
     """Abbreviations and initials before a word lose their dots first."""
     words = "|".join(a.replace(".", "\\.") for a in sorted(ABBREVIATIONS, key=len, reverse=True))
-    s = f"regexp_replace(regexp_replace({c}, '\\b(?:[A-Z]\\.){{2,}}(\\s+\\w)', 'X\\1', 'g'), '(?i)\\b(?:{words})\\.(\\s+\\w)', 'x\\1', 'g')"
+    before, after = "(^|[^\\p{L}\\p{N}_])", "(\\s+[\\p{L}\\p{N}_])"
+    s = f"regexp_replace(regexp_replace({c}, '{before}(?:[A-Z]\\.){{2,}}{after}', '\\1X\\2', 'g'), '(?i){before}(?:{words})\\.{after}', '\\1x\\2', 'g')"
     return f"len(regexp_extract_all({s}, '[.!?](?:[\"'')\\]]*\\s|$)'))"
