@@ -16,15 +16,23 @@ CURLY = re.compile("[’‘ʾʼ]")
 FOLD = dict(zip(map(ord, "šṣṭḫŠṢṬḪ"), "ssthSSTH"))
 
 
+BROKEN, TRAILING, WIDE = map(re.compile, (r"(?<=\w)-\n(?=\w)", r"[ \t]+\n", r"\n{3,}"))
+
+
 # ---- pages ----
 
 
+def one_kind_of_line(text: str | None) -> str:
+    """Written line ends, then real ones, as line feeds; soft hyphens gone."""
+    for pattern, new in ((r"\\r\\n|\\[nr]", "\n"), ("\r\n?", "\n"), ("\u00ad", "")):
+        text = re.sub(pattern, new, text or "")
+    return text
+
+
 def plain_lines(text: str | None) -> str:
     """T20."""
-    s = (text or "").replace("\\r\\n", "\n").replace("\\n", "\n").replace("\\r", "\n")
-    s = s.replace("\r\n", "\n").replace("\r", "\n").replace("­", "").translate(DASH)
-    s = re.sub(r"(?<=\w)-\n(?=\w)", "", CURLY.sub("'", s))
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", s))
+    s = BROKEN.sub("", CURLY.sub("'", one_kind_of_line(text).translate(DASH)))
+    return WIDE.sub("\n\n", TRAILING.sub("\n", s))
 
 
 @dataclass(frozen=True)
@@ -182,8 +190,7 @@ def transliteration_page(text: str | None, units: frozenset[str] = frozenset(),
 
 def block_hash(text: str | None) -> str:
     """B16."""
-    s = (text or "").replace("\\r\\n", "\n").replace("\\n", "\n").replace("\\r", "\n").replace("­", "")
-    return hashlib.md5(unicodedata.normalize("NFKC", clean(s)).encode()).hexdigest()
+    return hashlib.md5(unicodedata.normalize("NFKC", clean(one_kind_of_line(text))).encode()).hexdigest()
 
 
 def without_line_numbers(block: str | None) -> str:

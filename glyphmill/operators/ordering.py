@@ -30,13 +30,21 @@ def numbered(df: DataFrame, order: list[str], name: str = "row_number") -> tuple
     return joined.drop("_part", "_place", "_first"), first
 
 
+def placed(df: DataFrame, group: str, order: list[str], name: str = "place") -> DataFrame:
+    """df with the place of each row in its group from 1, by columns of order; a group may fill any number of tasks, as in `numbered`."""
+    rows, _ = numbered(df, [group, *order], "_row")
+    starts = rows.groupBy(F.col(group).alias("_group")).agg(F.min("_row").alias("_start"))
+    return rows.join(starts, rows[group].eqNullSafe(F.col("_group"))).withColumn(name, F.col("_row") - F.col("_start") + 1).drop("_row", "_start", "_group")
+
+
 def hash_order(key: Column, seed: int) -> Column:
     """A reproducible order without a pattern, the same in any engine: the MD5 of key and seed."""
     return F.md5(F.concat(key.cast("string"), F.lit(f"|{seed}")).cast("binary"))
 
 
-def first_by(df: DataFrame, keys: list[str], order: list[Column], n: int = 1, rank: str | None = None) -> DataFrame:
-    """The first n rows of each key by a total order; rank: a column for their place from 1."""
+def first_by(df: DataFrame, keys: list[str], order: list[Column], n: int | None = 1, rank: str | None = None) -> DataFrame:
+    """The first n rows of each key by a total order, all if n is None; rank: a column for their place from 1."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    ranked = df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n)
+    ranked = df.withColumn("_rank", F.row_number().over(w))
+    ranked = ranked if n is None else ranked.where(F.col("_rank") <= n)
     return ranked.withColumnRenamed("_rank", rank) if rank else ranked.drop("_rank")

@@ -250,7 +250,7 @@ def todo_rules(rows: DataFrame, per_group: int | None, group: str = "conv_id", p
     rows = rows.select("*", F.expr(_CASE(0)).alias("todo_type"), r6(F.expr(_CASE(2)).cast("double")).alias("priority"), F.expr(_CASE(3)).alias("action")).where("todo_type is not null")
     rows = rows.withColumn("target", F.when((F.col("todo_type") == "ALIGN_SHIFT") & (F.col("best_offset") != 0), F.col(place) + F.col("best_offset")).otherwise(F.col(place)).cast("long"))
     order = [F.desc("priority"), F.desc(r6(F.col("best_sim") - F.col("sim_self"))), F.desc("best_sim"), F.desc("sim_self"), F.asc(place)]
-    return first_by(rows, [group], order, per_group or (1 << 31) - 1, "todo_rank")
+    return first_by(rows, [group], order, per_group, "todo_rank")
 
 
 def todo_caps(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.operators import mixing
-from glyphmill.operators.ordering import first_by, hash_order, numbered
+from glyphmill.operators.ordering import hash_order, numbered, placed
 from glyphmill.plans.common import r6, read
 
 FOLDS, SEED = 5, 42
@@ -57,7 +57,7 @@ def mix_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of each source in hash order, with the benchmark's items."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", hash_order(F.col("doc_id"), SEED).alias("h"))
     sizes = docs.groupBy("source").agg(mixing.target(F.count("*"), 0.1).alias("n"))
-    ranked = first_by(docs, ["source"], [F.asc("h"), F.asc("doc_id")], 1 << 30, "place").join(sizes, "source").where("place <= n")
+    ranked = placed(docs, "source", ["h", "doc_id"]).join(sizes, "source").where("place <= n")
     items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lit("benchmark").alias("source"))
     return ranked.select(F.col("doc_id").alias("id"), "source").unionByName(items)
 
