@@ -103,8 +103,8 @@ def test_html_edges(page):
 
 
 @pytest.fixture(scope="module")
-def network():
-    return pii.fit(["the words of a text that carries them along and more of it still", "und noch mehr Worte in einem Text"] * 3)
+def network(trained):
+    return trained
 
 
 def held_out(rng):

@@ -26,8 +26,8 @@ def odd(spark):
 
 
 @pytest.fixture(scope="module")
-def network(spark):
-    return pii.fit([PROSE], pii.Pii(steps=40))
+def network(trained):
+    return trained
 
 
 @pytest.fixture(scope="module")
@@ -81,6 +81,16 @@ def test_odd_rows_and_empty_tables(spark, odd, network, name):
         assert sum(r.n_sequences for r in out.collect()) == sum(-(-(len(exact.encode_ordinary(t)) + 1) // 16) for _, t in ROWS if t)
 
 
+def test_personal_data_carriers(spark, odd, table, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pii, "fit", lambda texts, p: seen.append(texts) or {})
+    for docs in (odd, odd.limit(0), table("documents")):
+        pii.train(docs, pii.Pii(carriers=50))
+    assert sorted(seen[0]) == sorted({t for _, t in ROWS if t}) and seen[1] == [] and len(seen[2]) == len(set(seen[2])) == 50
+    pii.train(table("documents"), pii.Pii(carriers=50))
+    assert seen[3] == seen[2]
+
+
 def test_near_duplicates_against_brute_force(table):
     docs = table("documents").select("doc_id", "text")
     rows = docs.collect()
@@ -157,10 +167,9 @@ def test_pipeline_stages(spark, odd, table, network, monkeypatch):
     docs = table("documents")
     assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "near dedup", "decontamination", "pii", "bpe"]
     for name, stage in corpus_pipeline.STAGES:
-        with monkeypatch.context() as m:
-            m.setattr(pii, "train", lambda docs: network)
-            assert stage(spark, odd.limit(0), SF).count() == 0
-            strange = stage(spark, odd, SF)
+        monkeypatch.setattr(pii, "train", lambda docs: network)
+        assert stage(spark, odd.limit(0), SF).count() == 0
+        strange = stage(spark, odd, SF)
         out = write_shared(stage(spark, docs, SF), "stage")
         n, kept = docs.count(), out.count()
         if name == "bpe":
