@@ -11,7 +11,7 @@ a reader resumes at any slot by seeking. The slot of any sequence, and the seque
    numbers go back to the parts as one small file for each, which the task that reads the part opens. Texts and ids are
    never shuffled to be numbered.
 3. In `rounds` rounds over successive slots, sequences are range-partitioned by slot, whole shards together, sorted, and
-   joined into shards; the shuffle of a round is freed before the next, which bounds what they take beside the shards.
+   joined into shards; the shuffle of a round ends with it, which bounds what they take beside the shards.
 
 The shared folder must be one that Python can open on every executor (a mounted file system), here and in write_shards.
 
@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from glyphmill.llm.bpe import Bpe, build, codec, read_ranks
 from glyphmill.llm.shard import permute
 from glyphmill.llm.textbuf import ragged, slices, strings
-from glyphmill.shared import drop_shared, free_shuffles, local_path, shared_path, write_shared
+from glyphmill.shared import drop_shared, local_path, shared_path, write_shared
 
 
 @dataclass(frozen=True)
@@ -205,7 +205,6 @@ def shards(docs: DataFrame, p: TokenShards) -> DataFrame:
 
 def materialise(docs: DataFrame, p: TokenShards, folder: str) -> DataFrame:
     """All shards of docs, written to folder in p.rounds rounds with a manifest; what write_shards returns for each."""
-    spark = docs.sparkSession
     rows, n = sequences(docs, p)
     total = -(-n // p.per_shard)
     with open(p.vocabulary, "rb") as f:
@@ -220,7 +219,6 @@ def materialise(docs: DataFrame, p: TokenShards, folder: str) -> DataFrame:
     for first, last in zip(edges[:-1], edges[1:]):
         if first < last:
             part = write_shared(write_shards(shards_of(rows, n, p, first, last), folder), "shards")
-            free_shuffles(spark)
             done = part if done is None else done.unionByName(part)
     path = os.path.join(folder, "manifest.json")
     with open(path + ".part", "w") as f:
