@@ -21,6 +21,7 @@ import heapq
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -403,19 +404,21 @@ class Codec:
         unseen = np.flatnonzero(~have)
         if len(unseen):
             # words merged before keep their place in one growing array
-            raw_words = words.take(pa.array(unseen)).to_pylist()
-            new = [w for w in raw_words if w not in self.known]
+            raw_words = words.take(pa.array(unseen)).to_numpy(zero_copy_only=False).tolist()
+            index = np.fromiter(map(self.known.get, raw_words, repeat(-1)), np.int64, len(raw_words))
+            new = np.flatnonzero(index < 0)
             if len(self.known) + len(new) > KNOWN:
                 self.known.clear()
                 self.kept = np.zeros(0, np.int32)
                 self.kept_at = np.zeros(1, np.int64)
-                new = raw_words
-            if new:
-                found, n_ids = self.merge_many(new)
-                self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+                new = np.arange(len(raw_words))
+            if len(new):
+                fresh = [raw_words[i] for i in new]
+                found, n_ids = self.merge_many(fresh)
+                index[new] = len(self.known) + np.arange(len(new))
+                self.known.update(zip(fresh, index[new].tolist()))
                 self.kept_at = np.r_[self.kept_at, len(self.kept) + np.cumsum(n_ids)]
                 self.kept = np.r_[self.kept, found]
-            index = np.fromiter((self.known[w] for w in raw_words), np.int64, len(raw_words))
             begin[unseen] = used + self.kept_at[index]
             size[unseen] = self.kept_at[index + 1] - self.kept_at[index]
             parts.append(self.kept)

@@ -187,6 +187,18 @@ def test_hubs_with_many_pairs_are_cut_into_runs(spark, monkeypatch):
     assert sorted((r.doc_id, r.kept_doc_id, r.rows) for r in neardup.near_duplicates(docs).collect()) == [(k, 0, 1) for k in range(1, 20)]
 
 
+def test_batches_for_python_are_bounded_by_bytes(spark):
+    ship(spark)
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "bytes"])
+
+    long = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("some words "), 1000).alias("text"))
+    found = long.mapInArrow(run, "n long, bytes long").collect()
+    assert sum(r.n for r in found) == 4000 and max(r.bytes for r in found) < 8 << 20
+
+
 def test_shards_of_another_key_or_corpus_are_not_kept(spark, tmp_path):
     ship(spark)
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")

@@ -213,6 +213,13 @@ def test_bpe_equals_the_public_tokenizer(codec, exact):
     assert codec.decode(ids).tobytes() == "".join(t or "" for t in texts).encode()
 
 
+def test_bpe_words_that_a_worker_forgets(codec, exact, monkeypatch):
+    monkeypatch.setattr(bpe, "KNOWN", 6)
+    for text in ("zzyzx qwop vlrrt", "qwop xkcdy vlrrt brrgh zzyzx", "mnbvq wkrtz plkjh gfdsx xkcdy qwop zzyzx hjklm", "zzyzx mnbvq"):
+        ids, n = codec.encode(pa.array([text]))
+        assert ids.tolist() == exact.encode_ordinary(text) and n.tolist() == [len(ids)]
+
+
 def test_bpe_ids_outside_the_vocabulary(codec):
     for bad in (-1, 10**6):
         with pytest.raises(ValueError):
