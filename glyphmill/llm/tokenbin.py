@@ -6,12 +6,15 @@ its global slot. Slots are cut into shards of `per_shard` sequences. A shard is
 slot s starts at (s - first slot) * length * bytes_per_id, so reading in training order is reading in file order, and
 a reader resumes at any slot by seeking. The slot of any sequence, and the sequence of any slot, follow from n and key.
 
-1. Documents are tokenised where they are read; their ids are written once, with their part of the table and place in it.
-2. Keys and sequence counts alone are range-partitioned and sorted; counts for each partition give its first number. The
-   numbers go back to the parts as one small file for each, which the task that reads the part opens. Texts and ids are
-   never shuffled to be numbered.
-3. In `rounds` rounds over successive slots, sequences are range-partitioned by slot, whole shards together, sorted, and
-   joined into shards; the shuffle of a round ends with it, which bounds what they take beside the shards.
+1. Documents are tokenised where they are read; the Python worker writes the ids of its part of the table to a file and
+   hands on keys, places in the part and sequence counts alone. A part is named by a number that its task draws, so that
+   the file of a task that failed is not taken for that of the one that succeeded.
+2. These are range-partitioned and sorted; counts for each partition give its first number. The numbers go back to the
+   parts as one small file for each. Texts and ids are never shuffled to be numbered.
+3. In `rounds` rounds over successive slots, each part's files are read by one Python worker, and only the sequences of
+   the round reach the executor; they are range-partitioned by slot, whole shards together, sorted, and joined into shards
+   by the worker that writes these. The shuffle of a round ends with it, which bounds what they take beside the shards.
+   Ids and numbers are deleted after the last.
 
 The shared folder must be one that Python can open on every executor (a mounted file system), here and in write_shards.
 
@@ -26,22 +29,31 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterator
+import shutil
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphmill.llm.bpe import Bpe, build, codec, read_ranks
 from glyphmill.llm.shard import permute
-from glyphmill.llm.textbuf import ragged, slices, strings
+from glyphmill.llm.textbuf import SLICE_BYTES, ragged, released, slices, strings
 from glyphmill.shared import drop_shared, local_path, shared_path, write_shared
 
 
+JOINED = "shard long, first_slot long, n_sequences long, stride int, payload binary"
+WRITTEN = "shard long, first_slot long, n_sequences long, stride int, path string, bytes long, written boolean"
+#: Documents that are read from a part's file at once, at most; row groups end them sooner.
+PER_READ = 1_000
+#: Rows about shards in a file of what a round returns.
+PER_FILE = 100_000
+
+
 @dataclass(frozen=True)
 class TokenShards:
     """end, pad: ids outside the ranked vocabulary or in it. bytes_per_id: 2 or 4, little-endian. rounds: see above."""
@@ -64,48 +76,73 @@ class TokenShards:
         return self.length * self.bytes_per_id
 
 
-def tokenised(docs: DataFrame, p: TokenShards) -> DataFrame:
-    """(part, place, k, h, n_sequences, ids) of each document with ids; k: doc_id, h: text hash."""
+@dataclass(frozen=True)
+class Held:
+    """Folders of the parts' ids (`<part>.parquet`, in order of place) and of the first numbers (`<part>.npy`), as Python opens them."""
+
+    tokens: str
+    numbers: str
+    parts: tuple[int, ...]
+    n: int
+
+
+def tokenised(docs: DataFrame, p: TokenShards, folder: str) -> DataFrame:
+    """(part, place, k, h, n_sequences) of each document with ids; k: doc_id, h: text hash. ids go to `folder/<part>.parquet`."""
     spark = docs.sparkSession
     most = max(len(read_ranks(p.vocabulary)) - 1, p.end, p.pad)
     if most >= 1 << 8 * p.bytes_per_id:
         raise ValueError(f"id {most} does not fit {p.bytes_per_id} bytes")
     name = build(spark, Bpe(p.vocabulary), [])
     narrow = docs.select(F.col("doc_id").alias("k"), F.col("text").cast("string").alias("text")).where("text <> ''")
-    placed = narrow.select("k", F.xxhash64("text").alias("h"), F.spark_partition_id().alias("part"), "text")
+    placed = narrow.select("k", F.xxhash64("text").alias("h"), "text")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(name)
-        before = 0
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                ids, n = coder.encode(strings(batch.column("text")))
-                pieces = (n + 1 + p.length - 1) // p.length
-                size = pieces * p.length
-                out = np.full(int(size.sum()), p.pad, p.dtype)
-                starts = np.cumsum(size) - size
-                out[ragged(n, starts)] = ids
-                out[starts + n] = p.end
-                offsets = np.r_[0, np.cumsum(size * p.bytes_per_id)]
-                if offsets[-1] >= 1 << 31:
-                    raise ValueError("one document has 2 GB of ids or more")
-                packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
-                place = np.arange(before, before + len(n))
-                before += len(n)
-                yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(place), batch.column("k"), batch.column("h"), pa.array(pieces), packed], names=["part", "place", "k", "h", "n_sequences", "ids"])
-
-    fields = [("part", T.IntegerType()), ("place", T.LongType()), ("k", narrow.schema["k"].dataType), ("h", T.LongType()), ("n_sequences", T.LongType()), ("ids", T.BinaryType())]
+        before, part, file = 0, int.from_bytes(os.urandom(8), "little") >> 1, None
+        try:
+            for whole in batches:
+                for batch in slices(whole, "text"):
+                    ids, n = coder.encode(strings(batch.column("text")))
+                    pieces = (n + 1 + p.length - 1) // p.length
+                    size = pieces * p.length
+                    out = np.full(int(size.sum()), p.pad, p.dtype)
+                    starts = np.cumsum(size) - size
+                    out[ragged(n, starts)] = ids
+                    out[starts + n] = p.end
+                    offsets = np.r_[0, np.cumsum(size * p.bytes_per_id)]
+                    if offsets[-1] >= 1 << 31:
+                        raise ValueError("one document has 2 GB of ids or more")
+                    packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
+                    rows = pa.RecordBatch.from_arrays([packed], names=["ids"])
+                    if file is None:
+                        os.makedirs(folder, exist_ok=True)
+                        file = pq.ParquetWriter(f"{folder}/{part}.parquet", rows.schema, compression="zstd", use_dictionary=False, write_statistics=False)
+                    file.write_batch(rows)
+                    place = np.arange(before, before + len(n))
+                    before += len(n)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part)), pa.array(place), batch.column("k"), batch.column("h"), pa.array(pieces)], names=["part", "place", "k", "h", "n_sequences"])
+        finally:
+            if file is not None:
+                file.close()
+
+    fields = [("part", T.LongType()), ("place", T.LongType()), ("k", narrow.schema["k"].dataType), ("h", T.LongType()), ("n_sequences", T.LongType())]
     return placed.mapInArrow(run, T.StructType([T.StructField(*f) for f in fields]))
 
 
-def first_numbers(held: DataFrame) -> tuple[str, int]:
-    """(folder with a Parquet file set `part=<part>` of (place, first) for each part of held, number of sequences).
+def stretches(of: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of each run of equal values."""
+    edges = np.r_[0, np.flatnonzero(np.diff(of)) + 1, len(of)].tolist()
+    return list(zip(edges[:-1], edges[1:]))
+
 
-    first: the number of a document's first sequence, in the order (k, h). Rows alike in both are spread by their place.
+def first_numbers(keys: DataFrame, folder: str) -> tuple[list[int], int]:
+    """(the parts of keys, number of sequences); the number of the first sequence of each document, in the order (k, h),
+    goes to `folder/<part>.npy` in order of place. Rows alike in both are spread by their place.
     """
-    spark = held.sparkSession
-    keys = [F.col("k").asc_nulls_first(), F.col("h"), F.col("place"), F.col("part")]
-    ranged = held.select("k", "h", "place", "part", "n_sequences").repartitionByRange(*keys).sortWithinPartitions(*keys)
+    spark = keys.sparkSession
+    order = [F.col("k").asc_nulls_first(), F.col("h"), F.col("place"), F.col("part")]
+    ranged = keys.select("k", "h", "place", "part", "n_sequences").repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = 0
@@ -115,58 +152,100 @@ def first_numbers(held: DataFrame) -> tuple[str, int]:
             before += int(n.sum())
             yield pa.RecordBatch.from_arrays([batch.column("range"), batch.column("part"), batch.column("place"), pa.array(first, pa.int64()), pa.array(n, pa.int64())], names=["range", "part", "place", "first", "n"])
 
-    local = write_shared(ranged.select(F.spark_partition_id().alias("range"), "part", "place", "n_sequences").mapInArrow(run, "range int, part int, place long, first long, n long"), "numbers")
+    local = write_shared(ranged.select(F.spark_partition_id().alias("range"), "part", "place", "n_sequences").mapInArrow(run, "range int, part long, place long, first long, n long"), "numbers")
     total, starts = 0, []
     for k, size in sorted((r[0], r[1]) for r in local.groupBy("range").agg(F.sum("n")).collect()):
         starts.append((k, total))
         total += size
     # one row for each range
     offsets = spark.createDataFrame(starts, "range int, base long")
-    folder = shared_path(spark, "first")
     numbers = local.join(F.broadcast(offsets), "range").select("part", "place", (F.col("base") + F.col("first")).alias("first"))
-    numbers.repartition("part").write.partitionBy("part").parquet(folder)
-    drop_shared(local)
-    return folder, total
 
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(folder, exist_ok=True)
+        part, held = None, []
 
-def sequences(docs: DataFrame, p: TokenShards) -> tuple[DataFrame, int]:
-    """((slot, ids) of every sequence, how many there are)."""
-    held = write_shared(tokenised(docs, p), "tokens", "zstd")
-    shared, n = first_numbers(held)
-    folder = local_path(shared)
+        def done() -> pa.RecordBatch:
+            path = f"{folder}/{part}.npy"
+            with open(f"{path}.{os.getpid()}.part", "wb") as f:
+                np.save(f, np.concatenate(held))
+            os.replace(f"{path}.{os.getpid()}.part", path)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64())], names=["part"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            part, place, pieces = (batch.column(c).to_numpy() for c in ("part", "place", "n_sequences"))
-            base = np.empty(len(part), np.int64)
-            for k in np.unique(part).tolist():
-                if k not in known:
-                    read = pq.read_table(f"{folder}/part={k}", columns=["place", "first"], partitioning=None)
-                    known = {k: read["first"].to_numpy()[np.argsort(read["place"].to_numpy())]}
-                base[part == k] = known[k][place[part == k]]
-            column = batch.column("ids")
-            _, offsets, data = column.buffers()
-            at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
-            number = ragged(pieces, base)
-            slot = permute(number, n, p.key)
-            ends = (np.arange(len(number) + 1) * p.stride).astype(np.int32)
-            cut = pa.Array.from_buffers(pa.binary(), len(number), [None, pa.py_buffer(ends), data.slice(int(at[0]), int(at[-1] - at[0]))])
-            yield pa.RecordBatch.from_arrays([pa.array(slot), cut], names=["slot", "ids"])
+            of, first = batch.column("part").to_numpy(), batch.column("first").to_numpy()
+            for a, b in stretches(of) if len(of) else []:
+                if part is not None and of[a] != part:
+                    yield done()
+                    held = []
+                part = int(of[a])
+                held.append(first[a:b].copy())
+        if part is not None:
+            yield done()
+
+    parts = [r.part for r in numbers.repartition("part").sortWithinPartitions("part", "place").mapInArrow(keep, "part long").collect()]
+    drop_shared(local)
+    return sorted(parts), total
+
+
+def sequences(docs: DataFrame, p: TokenShards) -> Held:
+    """The ids of docs, cut into sequences, and their numbers, as files."""
+    spark = docs.sparkSession
+    tokens, numbers = local_path(shared_path(spark, "tokens")), local_path(shared_path(spark, "first"))
+    keys = write_shared(tokenised(docs, p, tokens), "keys")
+    parts, n = first_numbers(keys, numbers)
+    drop_shared(keys)
+    return Held(tokens, numbers, tuple(parts), n)
 
-    return held.select("part", "place", "n_sequences", "ids").mapInArrow(run, "slot long, ids binary"), n
 
+def slotted(spark: SparkSession, held: Held, p: TokenShards, first: int, last: int) -> DataFrame:
+    """(slot, ids) of the sequences of the slots first..last-1, a task for each part."""
+    def batch_of(slots: list[np.ndarray], rows: list[np.ndarray]) -> pa.RecordBatch:
+        slot, data = np.concatenate(slots), np.concatenate(rows)
+        ends = (np.arange(len(slot) + 1) * p.stride).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(slot), pa.Array.from_buffers(pa.binary(), len(slot), [None, pa.py_buffer(ends), pa.py_buffer(data)])], names=["slot", "ids"])
 
-def shards_of(rows: DataFrame, n: int, p: TokenShards, first: int, last: int) -> DataFrame:
-    """(shard, first_slot, n_sequences, stride, payload) of the shards first..last-1 from the sequences of all slots."""
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k in (k for batch in batches for k in batch.column("id").to_pylist()):
+            base = np.load(f"{held.numbers}/{held.parts[k]}.npy")
+            before, slots, rows, count = 0, [], [], 0
+            with pq.ParquetFile(f"{held.tokens}/{held.parts[k]}.parquet") as file:
+                for batch in file.iter_batches(PER_READ, use_threads=False):
+                    column = batch.column("ids")
+                    _, offsets, data = column.buffers()
+                    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+                    slot = permute(ragged(np.diff(at) // p.stride, base[before : before + len(column)]), held.n, p.key)
+                    before += len(column)
+                    chosen = (slot >= first) & (slot < last)
+                    slots.append(slot[chosen])
+                    rows.append(np.frombuffer(data, np.uint8)[at[0] : at[-1]].reshape(-1, p.stride)[chosen])
+                    count += len(slots[-1])
+                    if count * p.stride >= SLICE_BYTES:
+                        yield batch_of(slots, rows)
+                        slots, rows, count = [], [], 0
+            if before != len(base):
+                raise ValueError(f"part {held.parts[k]} has {before} documents and {len(base)} numbers")
+            if count:
+                yield batch_of(slots, rows)
+
+    return spark.range(0, len(held.parts), 1, max(1, len(held.parts))).mapInArrow(run, "slot long, ids binary")
+
+
+def ranged(spark: SparkSession, held: Held, p: TokenShards, first: int, last: int) -> DataFrame:
+    """(shard, ids) of all sequences of the shards first..last-1, whole shards together, in order of their slots."""
     per = p.per_shard
-    ranged = rows.withColumn("shard", F.floor(F.col("slot") / per).cast("long")).where((F.col("shard") >= first) & (F.col("shard") < last))
-    wanted = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    rows = slotted(spark, held, p, first * per, last * per).withColumn("shard", F.floor(F.col("slot") / per).cast("long"))
+    wanted = spark.conf.get("spark.sql.shuffle.partitions")
     # shards are filled alike, so ranges need no sample
     tasks = max(1, min(int(wanted), last - first))
-    ranged = ranged.repartitionById(tasks, ((F.col("shard") - first) * tasks / (last - first)).cast("int")).sortWithinPartitions("slot")
+    by = rows.repartitionById(tasks, ((F.col("shard") - first) * tasks / max(1, last - first)).cast("int"))
+    return by.sortWithinPartitions("slot").select("shard", "ids")
+
+
+def joiner(p: TokenShards) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What joins batches of ranged() into rows of JOINED."""
+    per = p.per_shard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held, count = None, [], 0
@@ -182,9 +261,8 @@ def shards_of(rows: DataFrame, n: int, p: TokenShards, first: int, last: int) ->
             if not batch.num_rows:
                 continue
             of = batch.column("shard").to_numpy()
-            edges = np.r_[0, np.flatnonzero(np.diff(of)) + 1, len(of)]
             column = batch.column("ids")
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            for a, b in stretches(of):
                 if shard is not None and of[a] != shard:
                     yield done()
                     held, count = [], 0
@@ -194,19 +272,20 @@ def shards_of(rows: DataFrame, n: int, p: TokenShards, first: int, last: int) ->
         if shard is not None:
             yield done()
 
-    return ranged.select("shard", "ids").mapInArrow(run, "shard long, first_slot long, n_sequences long, stride int, payload binary")
+    return run
 
 
 def shards(docs: DataFrame, p: TokenShards) -> DataFrame:
     """(shard, first_slot, n_sequences, stride, payload): every shard as the bytes of its file."""
-    rows, n = sequences(docs, p)
-    return shards_of(rows, n, p, 0, -(-n // p.per_shard))
+    held = sequences(docs, p)
+    return ranged(docs.sparkSession, held, p, 0, -(-held.n // p.per_shard)).mapInArrow(joiner(p), JOINED)
 
 
 def materialise(docs: DataFrame, p: TokenShards, folder: str) -> DataFrame:
     """All shards of docs, written to folder in p.rounds rounds with a manifest; what write_shards returns for each."""
-    rows, n = sequences(docs, p)
-    total = -(-n // p.per_shard)
+    spark = docs.sparkSession
+    held = sequences(docs, p)
+    n, total = held.n, -(-held.n // p.per_shard)
     with open(p.vocabulary, "rb") as f:
         manifest = {"sequences": n, "shards": total, "key": p.key, "length": p.length, "per_shard": p.per_shard, "bytes_per_id": p.bytes_per_id, "end": p.end, "pad": p.pad, "vocabulary_md5": hashlib.md5(f.read()).hexdigest()}
     os.makedirs(folder, exist_ok=True)
@@ -214,17 +293,27 @@ def materialise(docs: DataFrame, p: TokenShards, folder: str) -> DataFrame:
     for name in os.listdir(folder):
         if (m := re.fullmatch(r"shard-(\d{8,})\.bin", name)) and int(m[1]) >= total:
             os.remove(os.path.join(folder, name))
+    join, write = joiner(p), writer(folder)
+
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from write(join(batches))
+
     edges = [total * k // p.rounds for k in range(p.rounds + 1)]
     done = None
     for first, last in zip(edges[:-1], edges[1:]):
-        if first < last:
-            part = write_shared(write_shards(shards_of(rows, n, p, first, last), folder), "shards")
+        if first < last or done is None and last == total:
+            # a row for each shard: a file for each task would be many that hold next to nothing
+            rows = ranged(spark, held, p, first, last).mapInArrow(run, WRITTEN).repartition(-(-(last - first) // PER_FILE) or 1)
+            part = write_shared(rows, "shards")
             done = part if done is None else done.unionByName(part)
     path = os.path.join(folder, "manifest.json")
     with open(path + ".part", "w") as f:
         json.dump(manifest, f)
     os.replace(path + ".part", path)
-    return done if done is not None else write_shards(shards_of(rows, n, p, 0, 0), folder)
+    for used in (held.tokens, held.numbers):
+        shutil.rmtree(used, ignore_errors=True)
+    return done
 
 
 def write_shards(made: DataFrame, folder: str) -> DataFrame:
@@ -233,6 +322,11 @@ def write_shards(made: DataFrame, folder: str) -> DataFrame:
     folder is one that all executors can write, as a mounted file system. A file that holds its payload is left alone,
     so a broken run resumes, and one of another key, corpus or vocabulary is overwritten; files appear under their name only when complete, and are read again after writing.
     """
+    return made.mapInArrow(writer(folder), WRITTEN)
+
+
+def writer(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What writes batches of JOINED rows; see write_shards."""
     def holds(path: str, payload: bytes) -> bool:
         if not os.path.exists(path) or os.path.getsize(path) != len(payload):
             return False
@@ -261,7 +355,7 @@ def write_shards(made: DataFrame, folder: str) -> DataFrame:
             columns = [*(batch.column(c) for c in kept), pa.array(paths, pa.string()), pa.array(sizes, pa.int64()), pa.array(written, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "path", "bytes", "written"])
 
-    return made.mapInArrow(run, "shard long, first_slot long, n_sequences long, stride int, path string, bytes long, written boolean")
+    return run
 
 
 def read_sequence(folder: str, slot: int, p: TokenShards) -> np.ndarray:

@@ -216,6 +216,34 @@ def test_shards_of_another_key_or_corpus_are_not_kept(spark, tmp_path):
         make(docs, end=70_000)
 
 
+def test_a_round_of_shards_moves_its_sequences_alone(spark, tmp_path):
+    ship(spark)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    p = tokenbin.TokenShards(VOCABULARY, length=64, per_shard=128, rounds=3)
+    made = tokenbin.materialise(docs, p, str(tmp_path))
+    assert len(made.inputFiles()) == 3
+    held = tokenbin.sequences(docs, p)
+    for first, last in ((0, 1), (5, held.n // 2), (held.n // 2, held.n + 9)):
+        rows = tokenbin.slotted(spark, held, p, first, last).collect()
+        assert sorted(r.slot for r in rows) == list(range(first, min(last, held.n)))
+        assert all(bytes(r.ids) == tokenbin.read_sequence(str(tmp_path), r.slot, p).tobytes() for r in rows[:200])
+
+
+def test_ids_of_tasks_that_failed_are_not_taken(spark, tmp_path, monkeypatch):
+    ship(spark)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("doc_id < 60")
+    p = tokenbin.TokenShards(VOCABULARY, length=64, per_shard=128)
+    want = sorted(tokenbin.shards(docs, p).collect())
+    real = tokenbin.tokenised
+
+    def twice(rows, p, folder):
+        assert real(rows.where("doc_id < 30"), p, folder).count() and real(rows, p, folder).count()
+        return real(rows, p, folder)
+
+    monkeypatch.setattr(tokenbin, "tokenised", twice)
+    assert sorted(tokenbin.shards(docs, p).collect()) == want
+
+
 def test_risk_and_gradient():
     rng = np.random.default_rng(0)
     for prior, shift in ((0.05, 0), (0.9, -3)):
