@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphmill.llm.textbuf import BREAK, SPACE, classes, ragged, raw, slices, strings
+from glyphmill.llm.textbuf import BREAK, SPACE, classes, ragged, raw, released, slices, strings
 from glyphmill.shared import put_file, write_shared
 
 NONE = np.int32(0x7FFFFFFF)
@@ -440,6 +440,7 @@ class Codec:
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, n): how often each piece stands in all of docs."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
 
@@ -524,6 +525,7 @@ def encode_documents(docs: DataFrame, p: Bpe, text: str = "text", doc_id: str =
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = T.StructType([narrow.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(name)
         for whole in batches:
@@ -551,6 +553,7 @@ def decode_documents(encoded: DataFrame, p: Bpe, name: str | None = None) -> Dat
     narrow = encoded.select("doc_id", "token_ids")
     schema = T.StructType([narrow.schema["doc_id"], T.StructField("text", T.StringType())])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(name)
         for batch in batches:

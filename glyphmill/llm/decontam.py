@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.textbuf import codepoints, mix64, ragged, slices, strings, word_table
+from glyphmill.llm.textbuf import codepoints, mix64, ragged, released, slices, strings, word_table
 
 
 @dataclass(frozen=True)
@@ -262,6 +262,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: Decontam = Decontam()
     for ids, texts in blocks(benchmark, p, item_id, item_text):
         shared = spark.sparkContext.broadcast((ids, Index(texts, p)))
 
+        @released
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, index = shared.value
             for whole in batches:
@@ -281,6 +282,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, p: Decontam = Decon
     for _, texts in blocks(benchmark, p, item_id, item_text):
         shared = spark.sparkContext.broadcast(Index(texts, p))
 
+        @released
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for batch in slices(whole, text):

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphmill.llm.textbuf import SLICE_BYTES, mix64, slices, strings, words
+from glyphmill.llm.textbuf import SLICE_BYTES, mix64, released, slices, strings, words
 from glyphmill.shared import drop_shared, few, write_shared
 
 BASE_B = 1.001
@@ -177,6 +177,7 @@ def row_id(doc_id: str = "doc_id", text: str = "text"):
 
 def sketched(docs: DataFrame, p: NearDup) -> DataFrame:
     """(rid, doc_id, key, sketch, keys) of each document with words."""
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", SLICE_BYTES):
@@ -205,6 +206,7 @@ def sketched(docs: DataFrame, p: NearDup) -> DataFrame:
 
 def estimated(pairs: DataFrame, members: DataFrame, p: NearDup) -> DataFrame:
     """The pairs (a, b) whose estimated Jaccard index reaches threshold - margin; members: (node, sketch)."""
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -232,6 +234,7 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, p: NearDup) ->
     texts = docs.select(row_id().alias("rid"), F.col("text").cast("string").alias("text"))
     moved = texts.join(few(roles, SHIPPED), "rid").select("a", "salt", "b", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, done, mine = None, None, None
         for whole in batches:

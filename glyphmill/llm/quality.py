@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from glyphmill.llm.textbuf import raw, slices, strings
+from glyphmill.llm.textbuf import raw, released, slices, strings
 
 
 @dataclass(frozen=True)
@@ -106,6 +106,7 @@ def compression_ratios(docs: DataFrame, bands: Bands = Bands(), text: str = "tex
     fields = [source.schema[c] for c in kept]
     schema = T.StructType(fields if keep_only else fields + [T.StructField(n, t) for n, t, _ in FIELDS])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = _squeezer(bands.level)
         for whole in batches:

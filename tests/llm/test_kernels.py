@@ -14,6 +14,7 @@ import zstandard
 
 from glyphmill.llm import bpe, decontam, html, neardup, pii, quality, secrets, shard
 from glyphmill.llm.queries import VOCABULARY
+from glyphmill.llm.textbuf import released
 
 EDGE = [None, "", " ", "\n\n", "a", "Hello, world's  end!\t42 ", "don't we'll I'd 's", "Étranger öß 漢字 🙂🙂", "x" * 5000, "ab " * 4000, "  lead nbsp em", "1234567890" * 50, "naïve é ½"]
 
@@ -188,6 +189,26 @@ def test_pii_gradient():
         assert (ends[0] - ends[1]) / 2e-2 == pytest.approx(float(g[name][at]), abs=2e-3)
 
 
+def test_workers_give_back_what_they_freed():
+    def held():
+        return sum(int(line.split()[1]) for line in open("/proc/self/smaps_rollup") if line.startswith("Anonymous:")) / 1024
+
+    def run(batches):
+        parts = [np.ones(100_000, np.uint8) for _ in range(3000)]
+        pins.append(np.ones(100_000, np.uint8))
+        assert held() > before + 250
+        parts.clear()
+        yield from batches
+
+    pins, before = [], held()
+    assert list(released(run)(iter([1, 2]))) == [1, 2]
+    assert held() < before + 60
+    early = released(run)(iter([1, 2]))
+    assert next(early) == 1
+    early.close()
+    assert held() < before + 60
+
+
 # ---- 4 ----
 
 
