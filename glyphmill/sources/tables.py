@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 from glyphmill.operators.ordering import numbered
 
 CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
+#: Spark cuts white space and control characters off the ends of texts that it writes unless told otherwise.
+WRITTEN = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -31,10 +33,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(found) and len(found) > 0
 
 
-def read_table(spark: SparkSession, path: str, label: str = "table", types: bool = True, columns: list[str] | None = None) -> DataFrame:
+def read_table(spark: SparkSession, path: str, label: str = "table", types: bool = True, columns: list[str] | None = None, null: str | None = None) -> DataFrame:
     """Parquet by suffix or as a folder of part files, CSV in a ZIP file, else CSV; an error that names the label if it isn't there.
 
-    types=False reads CSV as text and nulls as empty texts. columns: read these alone.
+    types=False reads CSV as text and nulls as empty texts. columns: read these alone. null: how CSV has nulls, which then
+    stay nulls; without it, they can't be told from empty texts.
     """
     if not _exists(spark, path):
         raise FileNotFoundError(f"{label} not found: {path}")
@@ -44,9 +47,12 @@ def read_table(spark: SparkSession, path: str, label: str = "table", types: bool
     elif kind == ".parquet":
         df = spark.read.parquet(path)
     else:
-        df = spark.read.options(**CSV, inferSchema=types).csv(path)
+        df = spark.read.options(**CSV, inferSchema=types, **({} if null is None else {"nullValue": null})).csv(path)
     df = df.select(*[F.col(f"`{c}`") for c in columns]) if columns else df
-    return df if types or kind == ".parquet" else df.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in df.columns])
+    if types or kind == ".parquet":
+        return df
+    text = lambda c: F.col(f"`{c}`").cast("string")
+    return df.select(*[(F.coalesce(text(c), F.lit("")) if null is None else text(c)).alias(c) for c in df.columns])
 
 
 def _members(archive: zipfile.ZipFile) -> list[str]:
@@ -172,11 +178,11 @@ def normalised_candidates(df: DataFrame, id_: str, tag: str, text: str | None =
 # ---- sinks ----
 
 
-def write_table(df: DataFrame, path: str, kind: str | None = None) -> str:
-    """Parquet, or CSV where kind or the suffix says so; a folder of part files. The path."""
+def write_table(df: DataFrame, path: str, kind: str | None = None, null: str = "") -> str:
+    """Parquet, or CSV where kind or the suffix says so, nulls as `null`; a folder of part files. The path."""
     kind = kind or ("csv" if path.lower().endswith(".csv") else "parquet")
     writer = df.write.mode("overwrite")
-    (writer.options(**{k: v for k, v in CSV.items() if k != "multiLine"}).csv if kind == "csv" else writer.parquet)(path)
+    (writer.options(**WRITTEN, nullValue=null).csv if kind == "csv" else writer.parquet)(path)
     return path
 
 
@@ -211,7 +217,7 @@ def splits(pairs: DataFrame, folds: DataFrame, variants: list[str], extra: DataF
 def write_splits(rows: DataFrame, path: str, kind: str = "parquet") -> DataFrame:
     """Rows of `splits` under variant=/fold=/split=, and their numbers as summary.csv; (variant, fold, train_rows, val_rows)."""
     writer = rows.write.mode("overwrite").partitionBy("variant", "fold", "split")
-    (writer.option("header", True).csv if kind == "csv" else writer.parquet)(path)
+    (writer.options(**WRITTEN).csv if kind == "csv" else writer.parquet)(path)
     summary = rows.groupBy("variant", "fold").agg(F.count_if(F.col("split") == "train").alias("train_rows"), F.count_if(F.col("split") == "val").alias("val_rows"))
     # a row for each variant and fold
     summary.coalesce(1).orderBy("variant", "fold").write.mode("overwrite").option("header", True).csv(f"{path}/_summary")
@@ -229,7 +235,7 @@ def write_part(df: DataFrame, folder: str, number: int, overwrite: bool = False)
 
 def append_csv(df: DataFrame, folder: str) -> None:
     """K4: rows added to a folder of CSV files, each with its header."""
-    df.write.mode("append").option("header", True).option("quote", '"').option("escape", '"').csv(folder)
+    df.write.mode("append").options(**WRITTEN).csv(folder)
 
 
 def write_json(spark: SparkSession, path: str, payload: dict) -> None:
@@ -265,5 +271,5 @@ def write_submission(predictions: DataFrame, path: str, single: str | None = "me
         text = udfs.apply("single_sentence" if single == "merge" else "first_sentence", text)
     out = predictions.select("id", text.alias("translation"))
     # a submission is one file of as many rows as there are test ids
-    out.coalesce(1).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    out.coalesce(1).write.mode("overwrite").options(**WRITTEN).csv(path)
     return predictions.sparkSession.read.options(**CSV).csv(path)

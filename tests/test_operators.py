@@ -308,6 +308,17 @@ def test_configurations(tmp_path):
     assert config.resolved("f.csv", tmp_path / "data") == tmp_path / "data" / "f.csv"
 
 
+def test_csv_round_trip_keeps_ends_and_nulls(spark, tmp_path):
+    from glyphmill.plans import files
+
+    texts = ["  two \t", "\n", "\x01a\x1f", "", None, '"', ' "a", b\r\n', "\0,\n\0", "a\0"]
+    df = spark.createDataFrame([(k, t, t and t[:2], None if k % 2 else "") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    df.write.parquet(f"file://{tmp_path}/documents.parquet")
+    want = df.selectExpr("doc_id", "lang", "source", "md5(regexp_replace(text, '\\r\\n?', '\n')) as text_md5")
+    mine = files.csv_round_trip(spark, f"file://{tmp_path}")
+    assert want.count() == mine.count() and want.exceptAll(mine).count() == 0
+
+
 def test_files(spark, tmp_path):
     at = lambda name: f"file://{tmp_path}/{name}"
     df = spark.createDataFrame([(1, 'a "b"\nc, d', None), (2, "", "x")], "n long, t string, u string")
