@@ -191,15 +191,15 @@ def translation_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text, title): documents as pages of books named after parts; a document belongs to the part of its number."""
+    """(doc_id, title): documents as pages of books named after parts; a document belongs to the part of its number."""
     parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat_ws(" ", "p_name", F.col("p_size").cast("string"), "p_brand").alias("title"))
-    return read(spark, sf_dir, "documents").select("doc_id", "text").join(parts, "doc_id", "left").withColumn("title", F.coalesce("title", F.lit("")))
+    return parts.join(read(spark, sf_dir, "documents").select("doc_id"), "doc_id", "leftsemi")
 
 
-def part_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+def part_keys(spark: SparkSession, sf_dir: str, make=pages.catalogue) -> DataFrame:
     """The parts' names with sizes, and brands, as keys of a catalogue."""
     fields = {"name": F.concat_ws(" ", "p_name", F.col("p_size").cast("string")), "brand": F.col("p_brand")}
-    return pages.catalogue(read(spark, sf_dir, "part"), "p_partkey", fields)
+    return make(read(spark, sf_dir, "part"), "p_partkey", fields)
 
 
 def metadata_signature_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,7 +209,9 @@ def metadata_signature_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metadata_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the parts whose keys they or their titles hold whole: the best five, and how far the second lies behind."""
-    return pages.hit_summary(pages.hits(filed(spark, sf_dir), part_keys(spark, sf_dir), "doc_id", "text", "title")).withColumnRenamed("page", "doc_id")
+    keys = part_keys(spark, sf_dir, pages.catalogue_keys)
+    found = pages.hits(read(spark, sf_dir, "documents").select("doc_id", "text"), filed(spark, sf_dir), keys, "doc_id", "text", "title", top=5)
+    return pages.hit_summary(found, 5).withColumnRenamed("page", "doc_id")
 
 
 def placeholder_restore(spark: SparkSession, sf_dir: str) -> DataFrame:

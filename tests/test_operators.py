@@ -319,6 +319,26 @@ def test_csv_round_trip_keeps_ends_and_nulls(spark, tmp_path):
     assert want.count() == mine.count() and want.exceptAll(mine).count() == 0
 
 
+def test_hits_of_many_entries_of_one_form(spark, monkeypatch):
+    n = 400
+    texts = spark.createDataFrame([(k, f"a red bolt of size {k % 3} and {'more ' * 50}") for k in range(n)] + [(n, None)], "page long, text string")
+    titles = spark.createDataFrame([(k, f"red bolt {k % 2}") for k in range(n)], "page long, title string")
+    entries = spark.createDataFrame([(k, f"Red bolt {k % 3}", f"B{k % 2}") for k in range(n)], "entry long, name string, brand string")
+    keys = pages.catalogue_keys(entries, "entry", {"name": F.col("name"), "brand": F.col("brand")}).cache()
+    args = (texts, titles, keys, "page", "text", "title", ("brand",))
+    whole = pages.hits(*args)
+    part = pages.hits(*args, top=5)
+    # of 400 entries with 5 forms, each page meets those of its own and its title's alone; 5 of each form are enough for its first five
+    assert part.count() < 12 * n < whole.count()
+    got = pages.hit_summary(part).orderBy("page").collect()
+    assert got == pages.hit_summary(whole).orderBy("page").collect() and len(got) == n
+    assert got[0].entries == "0|3|6|9|12" and (got[0].top_score, got[0].n_page, got[0].n_title) == (1.9, 5, 5)
+    monkeypatch.setattr(pages, "FORMS", 2)
+    assert pages.hits(*args, top=5).exceptAll(part).count() == 0
+    tree = pages.forms_tree([(7, ["A", "B"]), (8, ["B"]), (9, ["A", "C"])])
+    assert sorted(pages.forms_within({"A", "B", "X"}, tree)) == [7, 8] and pages.forms_within(set(), tree) == []
+
+
 def test_files(spark, tmp_path):
     at = lambda name: f"file://{tmp_path}/{name}"
     df = spark.createDataFrame([(1, 'a "b"\nc, d', None), (2, "", "x")], "n long, t string, u string")
