@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.functions.text import chars, text_or_empty, tokens, windows
+from glyphmill.functions import scores
+from glyphmill.functions.text import text_or_empty, tokens
 from glyphmill.shared import write_shared
 
 CHAR_ORDERS, WORD_ORDERS, BLEU_ORDERS = 6, 2, 4
@@ -33,27 +37,37 @@ def tokens_13a(c: Column) -> Column:
     return F.filter(F.split(s, r"\s+"), lambda t: t != "")
 
 
-def characters(c: Column) -> Column:
-    return chars(F.regexp_replace(text_or_empty(c), r"\s+", ""))
+def bare(c: Column) -> Column:
+    """The text without white space: a string stands for its characters."""
+    return F.regexp_replace(text_or_empty(c), r"\s+", "")
 
 
-def statistics(df: DataFrame, key: str, hyp: str, ref: str, kinds: dict[str, tuple[Column, Column, int]]) -> DataFrame:
-    """(key, kind, n, matches, n_hyp, n_ref): clipped n-gram matches of each row for each kind and order.
+def summed_statistics(df: DataFrame, kinds: dict[str, tuple[Column, Column, int]]) -> DataFrame:
+    """(kind, n, matches, n_hyp, n_ref): clipped n-gram matches summed over all rows, for each kind and order that occurs.
 
-    kinds: name -> (items of the hypothesis, items of the reference, highest order).
+    kinds: name -> (items of the hypothesis, items of the reference, highest order); items are arrays, or strings for their
+    characters. Each task counts the n-grams of a row, adds up what it reads, and passes on one row for each kind and order.
     """
-    rows = []
-    for side in (0, 1):
-        for kind, spec in kinds.items():
-            for n in range(1, spec[2] + 1):
-                rows.append(F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("n"), F.lit(side).alias("side"), windows(spec[side], n, "\u0001").alias("grams")))
-    long = df.select(key, F.explode(F.array(*rows)).alias("s")).select(key, "s.kind", "s.n", "s.side", F.explode("s.grams").alias("gram"))
-    by_gram = long.groupBy(key, "kind", "n", "gram").agg(F.count_if(F.col("side") == 0).alias("h"), F.count_if(F.col("side") == 1).alias("r"))
-    return by_gram.groupBy(key, "kind", "n").agg(F.sum(F.least("h", "r")).alias("matches"), F.sum("h").alias("n_hyp"), F.sum("r").alias("n_ref"))
+    columns = [F.struct(h.alias("h"), r.alias("r")).alias(k) for k, (h, r, _) in kinds.items()]
+    orders = {k: n for k, (_, _, n) in kinds.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {(k, n): (0, 0, 0) for k, top in orders.items() for n in range(1, top + 1)}
+        for batch in batches:
+            for k, top in orders.items():
+                hyps, refs = (x.to_pylist() for x in batch.column(k).flatten())
+                for n in range(1, top + 1):
+                    found = [scores.overlap(scores.ngrams(h, n), scores.ngrams(r, n)) for h, r in zip(hyps, refs)]
+                    total[k, n] = tuple(map(sum, zip(total[k, n], *found)))
+        rows = [(*key, *sums) for key, sums in total.items() if sums[1] or sums[2]]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["kind", "n", "matches", "n_hyp", "n_ref"])
+
+    each = df.select(*columns).mapInArrow(run, "kind string, n int, matches long, n_hyp long, n_ref long")
+    return each.groupBy("kind", "n").agg(*[F.sum(c).alias(c) for c in ("matches", "n_hyp", "n_ref")])
 
 
 def chrf_kinds(hyp: str, ref: str) -> dict[str, tuple[Column, Column, int]]:
-    return {"char": (characters(F.col(hyp)), characters(F.col(ref)), CHAR_ORDERS), "word": (chr_words(F.col(hyp)), chr_words(F.col(ref)), WORD_ORDERS)}
+    return {"char": (bare(F.col(hyp)), bare(F.col(ref)), CHAR_ORDERS), "word": (chr_words(F.col(hyp)), chr_words(F.col(ref)), WORD_ORDERS)}
 
 
 def bleu_kinds(hyp: str, ref: str, tokenize: str = "13a") -> dict[str, tuple[Column, Column, int]]:
@@ -94,9 +108,7 @@ def bleu(stats: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 def corpus_scores(pairs: DataFrame, hyp: str, ref: str, tokenize: str = "13a") -> DataFrame:
     """(bleu, chrf, gm) of all pairs in one row; all null where no reference has any text."""
-    keyed = pairs.select(F.monotonically_increasing_id().alias("_key"), hyp, ref)
-    s = statistics(keyed, "_key", hyp, ref, chrf_kinds(hyp, ref) | bleu_kinds(hyp, ref, tokenize))
-    s = write_shared(s.groupBy("kind", "n").agg(*[F.sum(c).alias(c) for c in ("matches", "n_hyp", "n_ref")]), "scores")
+    s = write_shared(summed_statistics(pairs, chrf_kinds(hyp, ref) | bleu_kinds(hyp, ref, tokenize)), "scores")
     known = pairs.agg(F.coalesce(F.max(F.trim(text_or_empty(F.col(ref))) != ""), F.lit(False)).alias("known"))
     both = chrf(s).crossJoin(bleu(s)).crossJoin(known)
     only = lambda c: F.when(F.col("known"), c)

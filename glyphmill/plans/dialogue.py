@@ -261,13 +261,8 @@ def todo_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus_chrf_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums of clipped character n-gram matches by order over all pairs."""
-    p = keyed(pairs(spark, sf_dir))
-    s = metrics.statistics(p, "key", "tgt", "src", {"char": (metrics.characters(F.col("tgt")), metrics.characters(F.col("src")), metrics.CHAR_ORDERS)})
-    return s.groupBy("n").agg(*[F.sum(c).alias(c) for c in ("matches", "n_hyp", "n_ref")]).select(F.col("n").cast("long").alias("n"), "matches", "n_hyp", "n_ref")
-
-
-def keyed(p: DataFrame) -> DataFrame:
-    return p.withColumn("key", F.concat_ws("-", "conv_id", "turn"))
+    s = metrics.summed_statistics(pairs(spark, sf_dir), {"char": (metrics.bare(F.col("tgt")), metrics.bare(F.col("src")), metrics.CHAR_ORDERS)})
+    return s.select(F.col("n").cast("long").alias("n"), "matches", "n_hyp", "n_ref")
 
 
 def corpus_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -237,6 +237,21 @@ def test_corpus_scores_are_those_of_summed_statistics(spark):
     assert metrics.corpus_scores(spark.createDataFrame([("a", " ")], "h string, r string"), "h", "r").first().gm is None
 
 
+def test_statistics_are_summed_before_the_shuffle(spark):
+    from glyphmill.operators import metrics
+
+    rows = [("a b\tc 😀", "a  b c"), ("", None), (None, "xyzxyz"), ("xyzxyzxyz", "xyz")] * 5
+    df = spark.createDataFrame(rows, "h string, r string")
+    s = metrics.summed_statistics(df, metrics.chrf_kinds("h", "r") | metrics.bleu_kinds("h", "r"))
+    got = {(r.kind, r.n): (r.matches, r.n_hyp, r.n_ref) for r in s.collect()}
+    flat = lambda each: [tuple(map(sum, zip(*x))) for x in zip(*each)]
+    want = dict(zip([*[("char", n) for n in range(1, 7)], ("word", 1), ("word", 2)], flat([scores.chrf_statistics(h, r) for h, r in rows])))
+    want |= dict(zip([("bleu", n) for n in range(1, 5)], flat([scores.bleu_statistics(h, r)[0] for h, r in rows])))
+    assert got == {k: v for k, v in want.items() if v[1] or v[2]}
+    # no row for each n-gram is made
+    assert "Generate" not in s._jdf.queryExecution().toString()
+
+
 def test_mbr_by_brute_force(spark):
     rng = random.Random(4)
     words = "he paid the silver to them in town and left".split()
