@@ -246,8 +246,8 @@ def slot_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def normalized_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in variants A, B and C."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", *[udfs.apply(f"normalize_transliteration_{v}", F.col("text")).alias(v) for v in "abc"])
-    return docs.select("doc_id", F.explode(F.create_map(*[x for v in "abc" for x in (F.lit(v.upper()), F.col(v))])).alias("variant", "text"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", udfs.transliterations(F.col("text")).alias("v"))
+    return docs.select("doc_id", F.explode(F.create_map(*[x for v in "ABC" for x in (F.lit(v), F.col(f"v.{v}"))])).alias("variant", "text"))
 
 
 def normalized_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -354,6 +354,54 @@ def test_hits_of_many_entries_of_one_form(spark, monkeypatch):
     assert sorted(pages.forms_within({"A", "B", "X"}, tree)) == [7, 8] and pages.forms_within(set(), tree) == []
 
 
+def test_segments_of_long_documents():
+    rng = random.Random(6)
+    lengths = [rng.randint(1, 400) for _ in range(400)]
+    sizes = align.segment_sizes(200_000, lengths)
+    # near the shares, in time and memory that don't grow with the square of the tokens
+    share = align.desired(200_000, lengths)
+    assert sum(sizes) == 200_000 and max(abs(s - d) for s, d in zip(sizes, share)) < 5
+
+
+def test_normalisers_of_long_texts():
+    text = "He went (d.) away, see fig. " * 40_000
+    once = sentences.single(text)
+    assert once.count("fig. He") == 39_999 and once.count("(d; )") == 39_999
+    assert sentences.word_before("see (e.g)', ", 11) == "(e.g" and sentences.word_before("longer", 6) == "onger" and sentences.word_before(") ", 2) == ""
+    rng = random.Random(8)
+    for _ in range(2000):
+        t = "".join(rng.choice("xX (){}[]<>.-d mul’–²₂š1/KI\n") for _ in range(rng.randint(0, 40)))
+        assert normalize.transliterations(t) == tuple(normalize.transliteration(t, v) for v in "ABC")
+    assert normalize.transliterations(None) == ("", "", "") and normalize.punctuation("a–b ‘c’ “d„") == "a-b 'c' \"d\""
+
+
+def test_scorecards_of_all_modes_in_one_pass(spark):
+    ship(spark)
+    rng = random.Random(9)
+    words = ["Ali", "a-b-c-long", "x", "old", "a", "b", "{d}x", "ab-cde"]
+    texts = [None, ""] + [" ".join(rng.choice(words) for _ in range(rng.randint(0, 12))) for _ in range(200)]
+    known = {("Ali",): "PN", ("a", "b"): "GN", ("a",): "PN", ("a-b-c-long",): "PN", ("ab-cde",): "PN", ("{d}x", "old"): "GN"}
+    s = slots.scorecards(spark.createDataFrame([(t,) for t in texts], "text string"), "text", known, ("all", "strict", "pattern"), frozenset({"a", "Ali"}))
+    assert s._jdf.queryExecution().toString().count("MapInArrow") <= 4
+    for r in s.collect():
+        names = [[m["text"].split() for m in slots.placeholders(t, known, r["mode"])[1]] for t in texts]
+        n = sum(map(len, names))
+        assert r["rows"] == len(texts) and r.coverage == pytest.approx(sum(map(bool, names)) / len(texts)) and r.per_row == pytest.approx(n / len(texts))
+        assert r.common_rate == pytest.approx(sum(all(w in ("a", "Ali") for w in x) for row in names for x in row) / n)
+        assert r.short_rate == pytest.approx(sum(len(x) == 1 and len(x[0]) <= 3 for row in names for x in row) / n)
+
+
+def test_page_scores_read_blocks_once(spark):
+    rows = [(1, "translation", "en", 0.5), (1, "translation", "de", 0.9), (1, "translation", "de", 0.7), (1, "translit", "fr", 0.0), (2, None, "fr", 0.3), (3, "translation", "fr", 0.2)]
+    b = spark.createDataFrame(rows, "page long, role string, lang string, translation_score double").selectExpr("*", "lang = 'en' as english", "0.1D as english_score", "0.4D as translit_score")
+    s = pages.page_scores(b, "page")
+    assert "Join" not in s._jdf.queryExecution().toString()
+    got = {r.page: r for r in s.collect()}
+    assert (got[1].n_blocks, got[1].n_english, got[1].n_translation, got[1].n_foreign, got[1].n_translit) == (4, 1, 3, 2, 1)
+    assert (got[1].lang_counts, got[1].lang_top, got[1].translation_best, got[1].foreign_best, got[1].translit_best, got[1].english_best) == ("de:2|en:1", "de", 0.9, 0.9, 0.4, 0.1)
+    assert (got[2].lang_counts, got[2].lang_top, got[2].translation_best, got[2].n_blocks) == ("", "unknown", 0.0, 1) and got[3].lang_top == "fr"
+
+
 def test_files(spark, tmp_path):
     at = lambda name: f"file://{tmp_path}/{name}"
     df = spark.createDataFrame([(1, 'a "b"\nc, d', None), (2, "", "x")], "n long, t string, u string")
