@@ -45,8 +45,7 @@ def memory_candidates(queries: DataFrame, memory: DataFrame, top: int = 5, least
     then empty and repeated translations; ranks count what remains.
     """
     q, m = slotted_texts(queries, "src", s), slotted_texts(memory, "src", s)
-    w, idf = retrieval.tfidf(m, "row", "slot_text")
-    near = retrieval.top_k(retrieval.weighted(retrieval.counts(q, "id", "slot_text", 3, 3), idf, "id"), w, "id", "row", top, least)
+    near = retrieval.nearest(q, m, "id", "row", "slot_text", top, 3, 3, least)
     side = lambda df, key, mark: df.select(F.col(key).alias(mark), F.col("slot_text").alias(f"{mark}_slots"), F.col("slot_map").alias(f"{mark}_map"))
     met = near.join(side(q, "id", "query"), "query").join(side(m, "row", "match"), "match").join(memory.select(F.col("row").alias("match"), "tgt"), "match")
     met = met.where(F.col("query_slots") != F.col("match_slots")) if exclude_same else met
@@ -68,8 +67,7 @@ def memory_candidates(queries: DataFrame, memory: DataFrame, top: int = 5, least
 
 def pseudo_labels(untranslated: DataFrame, memory: DataFrame, least: float = 0.3) -> DataFrame:
     """(id, translation, confidence): the target of the nearest source, for texts without a translation; confidence is the similarity, 0 at least."""
-    w, idf = retrieval.tfidf(memory, "row", "src", 3, 5)
-    near = retrieval.top_k(retrieval.weighted(retrieval.counts(untranslated, "id", "src", 3, 5), idf, "id"), w, "id", "row", 1)
+    near = retrieval.nearest(untranslated, memory, "id", "row", "src", 1, 3, 5)
     found = near.join(memory.select(F.col("row").alias("match"), "tgt"), "match")
     return found.select(F.col("query").alias("id"), F.col("tgt").alias("translation"), F.greatest(F.col("sim"), F.lit(0.0)).alias("confidence")).where(F.col("confidence") >= least)
 

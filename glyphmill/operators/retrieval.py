@@ -12,6 +12,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,15 +64,26 @@ def top_k(queries: DataFrame, corpus: DataFrame, query_key: str, corpus_key: str
 
 #: Most queries, and most different terms of a corpus, that are sent to every task.
 QUERIES, TERMS = 20_000, 2_000_000
+#: Most cells of a table of terms by queries; beyond, terms have lists of queries.
+CELLS = 8_000_000
 
 
-def terms_of(text: str | None, low: int, high: int, words: bool = False) -> Counter:
-    """The n-grams of a text: of characters with white space collapsed, or of words."""
+class TooMany(ValueError):
+    """Beyond the bounds of `search`."""
+
+
+def terms_in(text: str | None, low: int, high: int, words: bool = False) -> list[str]:
+    """The n-grams of a text, with repeats: of characters with white space collapsed, or of words."""
     if words:
         w = re.findall(r"\b\w+\b", text or "")
-        return Counter(" ".join(w[i : i + n]) for n in range(low, high + 1) for i in range(len(w) - n + 1))
+        return [" ".join(w[i : i + n]) for n in range(low, high + 1) for i in range(len(w) - n + 1)]
     s = re.sub(r"\s\s+", " ", text or "")
-    return Counter(s[i : i + n] for n in range(low, high + 1) for i in range(len(s) - n + 1))
+    return [s[i : i + n] for n in range(low, high + 1) for i in range(len(s) - n + 1)]
+
+
+def terms_of(text: str | None, low: int, high: int, words: bool = False) -> Counter:
+    """How often each n-gram of a text stands in it."""
+    return Counter(terms_in(text, low, high, words))
 
 
 def term_frequencies(df: DataFrame, text: str, low: int, high: int, words: bool = False) -> DataFrame:
@@ -84,19 +96,20 @@ def term_frequencies(df: DataFrame, text: str, low: int, high: int, words: bool
 
         for batch in batches:
             for t in batch.column("text").to_pylist():
-                total.update(terms_of(t, low, high, words).keys())
-            if len(total) > 500_000:
-                yield out()
-                total.clear()
+                total.update(set(terms_in(t, low, high, words)))
+                if len(total) > 500_000:
+                    yield out()
+                    total.clear()
         yield out()
 
     return df.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def search(queries: DataFrame, corpus: DataFrame, key: str, text: str, k: int, low: int = 3, high: int = 3, least: float = 0.0, words: bool = False, min_df: int = 1, max_df: float = 1.0, max_features: int | None = None) -> DataFrame:
+def search(queries: DataFrame, corpus: DataFrame, key: str, text: str, k: int, low: int = 3, high: int = 3, least: float = 0.0, words: bool = False, min_df: int = 1, max_df: float = 1.0, max_features: int | None = None, corpus_key: str | None = None) -> DataFrame:
     """(query, match, sim, rank): the k nearest texts of the corpus to each query by cosine, ties by match; exact.
 
     At most QUERIES queries and a corpus of at most TERMS terms; more are an error here and go through `tfidf` and `top_k`.
+    corpus_key: the corpus's key, if it is not `key`.
     """
     n = corpus.count()
     frequent = term_frequencies(corpus, text, low, high, words).where((F.col("n") >= min_df) & (F.col("n") <= max_df * n))
@@ -104,11 +117,12 @@ def search(queries: DataFrame, corpus: DataFrame, key: str, text: str, k: int, l
     found = frequent.toArrow()
     asked = queries.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).limit(QUERIES + 1).collect()
     if found.num_rows > TERMS or len(asked) > QUERIES:
-        raise ValueError(f"over {TERMS} terms or {QUERIES} queries: use tfidf and top_k")
-    idf = {t: math.log((1 + n) / (1 + d)) + 1 for t, d in zip(found["term"].to_pylist(), found["n"].to_pylist())}
+        raise TooMany(f"over {TERMS} terms or {QUERIES} queries: use tfidf and top_k")
+    place = {t: i for i, t in enumerate(found["term"].to_pylist())}
+    idf = np.array([math.log((1 + n) / (1 + d)) + 1 for d in found["n"].to_pylist()])
 
     def weights(t: str | None) -> dict[str, float]:
-        w = {term: tf * idf[term] for term, tf in terms_of(t, low, high, words).items() if term in idf}
+        w = {term: tf * idf[place[term]] for term, tf in terms_of(t, low, high, words).items() if term in place}
         norm = math.sqrt(sum(x * x for x in w.values()))
         return {term: x / norm for term, x in w.items()} if norm else {}
 
@@ -116,33 +130,57 @@ def search(queries: DataFrame, corpus: DataFrame, key: str, text: str, k: int, l
     for i, row in enumerate(asked):
         for term, x in weights(row.text).items():
             wanted.setdefault(term, []).append((i, x))
-    held = queries.sparkSession.sparkContext.broadcast((idf, wanted))
-    narrow = corpus.select(F.col(key).alias("match"), F.col(text).cast("string").alias("text"))
+    # terms that no query has count for a text's length alone; those that some have come first, with a row for each in `table`
+    order = sorted(place, key=lambda t: t not in wanted)
+    idf = idf[[place[t] for t in order]]
+    place = {t: i for i, t in enumerate(order)}
+    dense = len(wanted) * len(asked) <= CELLS
+    if dense:
+        table = np.zeros((len(wanted), len(asked)))
+        for term, rows in wanted.items():
+            table[place[term], [i for i, _ in rows]] = [x for _, x in rows]
+    else:
+        table = [(np.array([i for i, _ in wanted[t]]), np.array([x for _, x in wanted[t]])) for t in order[: len(wanted)]]
+    held = queries.sparkSession.sparkContext.broadcast((place, idf, table))
+    narrow = corpus.select(F.col(corpus_key or key).alias("match"), F.col(text).cast("string").alias("text"))
     schema = T.StructType([T.StructField("place", T.IntegerType()), narrow.schema["match"], T.StructField("sim", T.DoubleType())])
+    n_asked, n_wanted = len(asked), len(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, wanted = held.value
+        place, idf, table = held.value
         best: dict[int, list[tuple[float, object]]] = {}
+        # what a text must reach to be among a query's best, as far as is known
+        bar = np.full(n_asked, least)
 
         def cut(rows: list) -> list:
             return sorted(rows, key=lambda r: (-r[0], r[1]))[:k]
 
         for batch in batches:
             for match, t in zip(batch.column("match").to_pylist(), batch.column("text").to_pylist()):
-                squares, sims = 0.0, {}
-                for term, tf in terms_of(t, low, high, words).items():
-                    if (x := idf.get(term)) is None:
-                        continue
-                    x *= tf
-                    squares += x * x
-                    for i, y in wanted.get(term, ()):
-                        sims[i] = sims.get(i, 0.0) + x * y
-                for i, s in sims.items():
-                    if (s := round(s / math.sqrt(squares), 6)) >= least and match is not None:
-                        rows = best.setdefault(i, [])
-                        rows.append((s, match))
-                        if len(rows) > 8 * k:
-                            best[i] = cut(rows)
+                counted = Counter(terms_in(t, low, high, words))
+                rows = [(i, tf) for term, tf in counted.items() if (i := place.get(term)) is not None]
+                if match is None or not rows:
+                    continue
+                at, tf = np.array(rows, np.int64).T
+                x = tf * idf[at]
+                has = at < n_wanted
+                if not has.any():
+                    continue
+                if dense:
+                    sims = x[has] @ table[at[has]]
+                else:
+                    sims = np.zeros(n_asked)
+                    for i, y in zip(at[has], x[has]):
+                        who, weight = table[i]
+                        sims[who] += y * weight
+                met = sims > 0
+                sims = np.round(sims / math.sqrt(float(x @ x)), 6)
+                for i in np.flatnonzero(met & (sims >= bar)).tolist():
+                    rows = best.setdefault(i, [])
+                    rows.append((float(sims[i]), match))
+                    if len(rows) > 8 * k:
+                        best[i] = cut(rows)
+                        bar[i] = best[i][-1][0]
         rows = [(i, m, s) for i, r in best.items() for s, m in cut(r)]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.int32(), batch.schema.field("match").type, pa.float64()))], names=schema.names)
@@ -152,6 +190,15 @@ def search(queries: DataFrame, corpus: DataFrame, key: str, text: str, k: int, l
     return near.join(F.broadcast(places), "place").select("query", "match", "sim", "rank")
 
 
+def nearest(queries: DataFrame, corpus: DataFrame, query_key: str, corpus_key: str, text: str, k: int, low: int = 3, high: int = 3, least: float = 0.0) -> DataFrame:
+    """`search` where its bounds allow, else `top_k`: no posting is shuffled for a bounded set of queries."""
+    try:
+        return search(queries, corpus, query_key, text, k, low, high, least, corpus_key=corpus_key)
+    except TooMany:
+        w, idf = tfidf(corpus, corpus_key, text, low, high)
+        return top_k(weighted(counts(queries, query_key, text, low, high), idf, query_key), w, query_key, corpus_key, k, least)
+
+
 def rule_score(sim: Column, text: Column, mean: Column, std: Column) -> Column:
     """Similarity less penalties for repeated closing marks, unusual length and digits."""
     size = F.length(text_or_empty(text))

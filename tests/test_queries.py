@@ -69,6 +69,27 @@ def test_search_equals_postings(spark):
     assert retrieval.search(queries, df, "id", "text", 1, 1, 2, words=True, min_df=2, max_features=3).count() > 0
 
 
+def test_nearest_is_the_same_in_all_ways(spark, monkeypatch):
+    import random
+
+    from glyphmill.shared import ship
+
+    ship(spark)
+    rng = random.Random(4)
+    text = lambda: " ".join(rng.choice(["river", "bank", "old", "stones", "é"]) for _ in range(rng.randint(0, 7)))
+    corpus = spark.createDataFrame([(k, text()) for k in range(80)] + [(99, None)], "row long, text string")
+    queries = spark.createDataFrame([(k, text()) for k in range(20)], "id long, text string")
+    run = lambda: {(r.query, r["rank"]): (r.match, round(r.sim, 5)) for r in retrieval.nearest(queries, corpus, "id", "row", "text", 2, 3, 5).collect()}
+    found = retrieval.nearest(queries, corpus, "id", "row", "text", 2, 3, 5)
+    # no row for each term of each text is made
+    assert "Generate" not in found._jdf.queryExecution().toString()
+    want = run()
+    monkeypatch.setattr(retrieval, "CELLS", 0)
+    assert run() == want
+    monkeypatch.setattr(retrieval, "TERMS", 3)
+    assert run() == want
+
+
 def test_entry_points_without_the_llm_folders(tmp_path):
     import shutil
     from pathlib import Path
