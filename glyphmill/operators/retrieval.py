@@ -86,6 +86,51 @@ def terms_of(text: str | None, low: int, high: int, words: bool = False) -> Coun
     return Counter(terms_in(text, low, high, words))
 
 
+def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The different runs of three characters of a text as sorted numbers, 21 bits for each, and how often each stands in it."""
+    s = re.sub(r"\s\s+", " ", text or "")
+    c = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:], return_counts=True)
+
+
+def trigram_number(term: str) -> int:
+    a, b, c = map(ord, term)
+    return a << 42 | b << 21 | c
+
+
+def trigram_text(number: int) -> str:
+    return "".join(chr(number >> k & 0x1FFFFF) for k in (42, 21, 0))
+
+
+def trigram_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, n) of a task's texts."""
+    total, waiting, size = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], [], 0
+
+    def merge() -> None:
+        new = np.unique(np.concatenate(waiting), return_counts=True) if waiting else total[0]
+        keys, at = np.unique(np.concatenate([total[0][0], new[0]]), return_inverse=True)
+        if waiting:
+            total[0] = keys, np.bincount(at, np.concatenate([total[0][1], new[1]]), len(keys)).astype(np.int64)
+        waiting.clear()
+
+    def out() -> pa.RecordBatch:
+        keys, n = total[0]
+        total[0] = keys[:0], n[:0]
+        return pa.RecordBatch.from_arrays([pa.array(list(map(trigram_text, keys.tolist())), pa.string()), pa.array(n)], names=["term", "n"])
+
+    for batch in batches:
+        for t in batch.column("text"):
+            waiting.append(trigrams(t.as_py())[0])
+            size += len(waiting[-1])
+            if size > 1 << 20:
+                merge()
+                size = 0
+                if len(total[0][0]) > 500_000:
+                    yield out()
+    merge()
+    yield out()
+
+
 def term_frequencies(df: DataFrame, text: str, low: int, high: int, words: bool = False) -> DataFrame:
     """(term, n): in how many texts each term stands; each task adds up what it reads before anything is shuffled."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +147,8 @@ def term_frequencies(df: DataFrame, text: str, low: int, high: int, words: bool
                     total.clear()
         yield out()
 
-    return df.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    made = trigram_frequencies if (low, high, words) == (3, 3, False) else run
+    return df.select(F.col(text).cast("string").alias("text")).mapInArrow(made, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def search(queries: DataFrame, corpus: DataFrame, key: str, text: str, k: int, low: int = 3, high: int = 3, least: float = 0.0, words: bool = False, min_df: int = 1, max_df: float = 1.0, max_features: int | None = None, corpus_key: str | None = None) -> DataFrame:
@@ -141,6 +187,11 @@ def search(queries: DataFrame, corpus: DataFrame, key: str, text: str, k: int, l
             table[place[term], [i for i, _ in rows]] = [x for _, x in rows]
     else:
         table = [(np.array([i for i, _ in wanted[t]]), np.array([x for _, x in wanted[t]])) for t in order[: len(wanted)]]
+    three = (low, high, words) == (3, 3, False)
+    if three:
+        numbers = np.array([trigram_number(t) for t in order], np.int64)
+        sorted_ = np.argsort(numbers)
+        place = numbers[sorted_], sorted_
     held = queries.sparkSession.sparkContext.broadcast((place, idf, table))
     narrow = corpus.select(F.col(corpus_key or key).alias("match"), F.col(text).cast("string").alias("text"))
     schema = T.StructType([T.StructField("place", T.IntegerType()), narrow.schema["match"], T.StructField("sim", T.DoubleType())])
@@ -157,11 +208,16 @@ def search(queries: DataFrame, corpus: DataFrame, key: str, text: str, k: int, l
 
         for batch in batches:
             for match, t in zip(batch.column("match").to_pylist(), batch.column("text").to_pylist()):
-                counted = Counter(terms_in(t, low, high, words))
-                rows = [(i, tf) for term, tf in counted.items() if (i := place.get(term)) is not None]
-                if match is None or not rows:
+                if match is None:
                     continue
-                at, tf = np.array(rows, np.int64).T
+                if three:
+                    term, tf = trigrams(t)
+                    at = np.minimum(np.searchsorted(place[0], term), len(place[0]) - 1)
+                    known = place[0][at] == term if len(place[0]) else np.zeros(len(term), bool)
+                    at, tf = place[1][at[known]], tf[known]
+                else:
+                    rows = [(i, tf) for term, tf in Counter(terms_in(t, low, high, words)).items() if (i := place.get(term)) is not None]
+                    at, tf = np.array(rows, np.int64).reshape(-1, 2).T
                 x = tf * idf[at]
                 has = at < n_wanted
                 if not has.any():

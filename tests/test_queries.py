@@ -69,6 +69,18 @@ def test_search_equals_postings(spark):
     assert retrieval.search(queries, df, "id", "text", 1, 1, 2, words=True, min_df=2, max_features=3).count() > 0
 
 
+def test_trigrams_as_numbers():
+    import pyarrow as pa
+
+    texts = ["the  river \n bank 😀\U0010ffff\0x", "ab", "", None, "aaaa"] * 3
+    for t in texts:
+        found = {retrieval.trigram_text(k): n for k, n in zip(*(x.tolist() for x in retrieval.trigrams(t)))}
+        assert found == retrieval.terms_of(t, 3, 3) and all(retrieval.trigram_text(retrieval.trigram_number(x)) == x for x in found)
+    (got,) = retrieval.trigram_frequencies(iter([pa.RecordBatch.from_pydict({"text": texts})] * 2))
+    assert dict(zip(got["term"].to_pylist(), got["n"].to_pylist())) == {x: 6 for t in set(texts) for x in retrieval.terms_of(t, 3, 3)}
+    assert [b.num_rows for b in retrieval.trigram_frequencies(iter([]))] == [0]
+
+
 def test_nearest_is_the_same_in_all_ways(spark, monkeypatch):
     import random
 
